@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["valuation"]
+FAMILIES = ["valuation", "browsing", "market"]
 
 
 def load():

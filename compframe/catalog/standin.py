@@ -119,3 +119,92 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def now():
     return F.lit(NOW).cast("timestamp")
+
+
+# ---------------------------------------------------------------- deals and subscribers
+
+O = "o_orderkey"
+DEALS = [
+    f"CAST({O} AS VARCHAR(20)) AS id",
+    f"{town(O, 'o_custkey')} AS city",
+    f"{pick(f'({O} + o_custkey) % {len(HOODS)}', HOODS)} AS neighborhood",
+    "CAST(floor(o_totalprice / 2) AS BIGINT) AS price",
+    "CAST(floor(o_totalprice / 2) AS BIGINT) AS effective_price",
+    "CAST(20 + o_custkey % 130 AS DOUBLE) AS sqm",
+    f"CAST(CASE WHEN {O} % 4 = 0 THEN 0 ELSE 3 + {O} % 12 END AS INT) AS comparables_count",
+    f"CASE WHEN {O} % 4 = 0 THEN NULL ELSE CAST(floor(o_totalprice * (0.4 + ({O} * 7 % 100) * 0.01)) AS BIGINT) END AS market_price",
+    f"CASE WHEN {O} % 23 = 0 THEN NULL ELSE lpad(CAST(({O} * 5 + o_custkey) % 28 + 1 AS VARCHAR(4)), 2, '0') || '.' || "
+    f"lpad(CAST({O} % 4 + 2 AS VARCHAR(4)), 2, '0') || '.2024' END AS auction_end",
+]
+DEALS_OUTER = [
+    "*", "market_price - price AS savings_eur",
+    "CASE WHEN market_price >= price AND market_price > 0 THEN floor((market_price - price) * 1000.0 / market_price) / 10.0 END AS discount",
+]
+C_ = "c_custkey"
+SUBSCRIBERS = [
+    f"CAST({C_} AS BIGINT) AS id",
+    "'  ' || replace(c_name, '#', '.') || '@Example.com ' AS email",
+    f"CASE WHEN {C_} % 4 = 0 THEN CASE WHEN {C_} % 8 = 0 THEN '[]' ELSE NULL END WHEN {C_} % 4 = 1 "
+    f"THEN '[\"' || ({pick(f'c_nationkey % {len(CITIES)}', CITIES)}) || '\"]' "
+    f"ELSE '[\"' || ({pick(f'c_nationkey % {len(CITIES)}', CITIES)}) || '\",\"' || ({pick(f'({C_} + 3) % {len(CITIES)}', CITIES)}) || '\",\"Атлантида\"]' END AS cities_json",
+    f"CASE WHEN {C_} % 9 = 0 THEN 'abc' WHEN {C_} % 9 = 1 THEN NULL ELSE CAST({C_} % 90 - 5 AS VARCHAR(8)) END AS threshold_text",
+    f"CAST(CASE WHEN {C_} % 6 = 0 THEN 0 WHEN {C_} % 6 = 1 THEN NULL ELSE {C_} % 45 + 10 END AS INT) AS min_discount",
+    f"{C_} % 7 <> 0 AS verified",
+    f"CASE WHEN {C_} % 3 = 0 THEN '[\"' || CAST({C_} * 3 % 1400 AS VARCHAR(8)) || '\",\"' || CAST({C_} * 11 % 1400 AS VARCHAR(8)) || '\"]' "
+    f"WHEN {C_} % 3 = 1 THEN '' ELSE NULL END AS last_deal_ids_json",
+]
+
+
+def deals_sql() -> str:
+    inner = f"SELECT {', '.join(DEALS)} FROM orders"
+    return f"deals AS (SELECT {', '.join(DEALS_OUTER)} FROM ({inner}))"
+
+
+def subscribers_sql() -> str:
+    return f"subscribers AS (SELECT {', '.join(SUBSCRIBERS)} FROM customer)"
+
+
+def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").selectExpr(*DEALS).selectExpr(*DEALS_OUTER)
+    return rows.withColumn("discount", F.col("discount").cast("double")).withColumn(
+        "price_eur", F.col("price").cast("double")).withColumn("partial_ownership", F.lit(None).cast("string"))
+
+
+def subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr(*SUBSCRIBERS)
+
+
+# ---------------------------------------------------------------- snapshots
+
+OLD_STAMP = "TIMESTAMP '2024-02-01 00:00:00'"
+KNOWN_WHERE = f"{K} % 10 <> 3"
+CURRENT_WHERE = f"{K} % 7 <> 0"
+SNAP_FIELDS = [
+    f"CAST({K} AS BIGINT) AS id", "p_name AS address", "p_retailprice AS price_eur",
+    f"CASE WHEN {K} % 19 = 0 THEN NULL WHEN {K} % 9 = 0 THEN '2024-01-05' ELSE {DAY} || '.' || {MONTH} || '.2024' END AS auction_end",
+]
+
+
+def snapshot_sql() -> str:
+    known = f"SELECT {', '.join(SNAP_FIELDS)}, {K} % 4 = 0 AS is_expired FROM part WHERE {KNOWN_WHERE}"
+    fresh = (f"SELECT {', '.join(SNAP_FIELDS)} FROM part WHERE {CURRENT_WHERE}")
+    return (
+        f"known AS (SELECT *, {OLD_STAMP} AS scraped_at, {OLD_STAMP} AS first_seen_at, {OLD_STAMP} AS last_updated_at FROM ({known})), "
+        f"current_ids AS (SELECT CAST({K} AS BIGINT) AS id FROM part WHERE {CURRENT_WHERE}), "
+        f"details AS (SELECT id, address, price_eur + 1000.0 AS price_eur, auction_end, id % 12 = 0 AS is_expired FROM ({fresh}) WHERE id % 31 <> 0)"
+    )
+
+
+def known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = F.expr(OLD_STAMP)
+    return (table(spark, sf_dir, "part").where(KNOWN_WHERE).selectExpr(*SNAP_FIELDS, f"{K} % 4 = 0 AS is_expired")
+            .withColumns({"scraped_at": old, "first_seen_at": old, "last_updated_at": old}))
+
+
+def current_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").where(CURRENT_WHERE).selectExpr(f"CAST({K} AS BIGINT) AS id")
+
+
+def details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (table(spark, sf_dir, "part").where(CURRENT_WHERE).selectExpr(*SNAP_FIELDS).where("id % 31 <> 0")
+            .selectExpr("id", "address", "price_eur + 1000.0 AS price_eur", "auction_end", "id % 12 = 0 AS is_expired"))

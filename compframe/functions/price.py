@@ -77,7 +77,7 @@ def best_rank(discount: Column, savings: Column) -> Column:
 def price_bar(price: Column, market_price: Column) -> Column:
     """Position of the price bar, 10..90; 50 without a market price."""
     pct = price / F.nullif(market_price.cast("double"), F.lit(0.0)) * 100
-    return F.coalesce(F.greatest(F.lit(10.0), F.least(F.lit(90.0), pct)), F.lit(50.0))
+    return F.when(pct.isNull(), 50.0).otherwise(F.greatest(F.lit(10.0), F.least(F.lit(90.0), pct)))
 
 
 def relative_delta(a: Column, b: Column) -> Column:
