@@ -289,7 +289,7 @@ AGENCY_PAGE = (
 
 
 @query("extract_agency_listings", f"SELECT CAST({K} AS BIGINT) AS page_id, 'ag1' AS agency, 'https://ag1.imot.bg/obiava-' || {K} || '-prodava-dvustaen-apartament-grad-sofiya-lozenets' AS listing_url, "
-       f"CAST({K} AS VARCHAR) AS listing_code, 'lozenets' AS district, 'dvustaen-apartament' AS property_type, CAST(p_size + 30 AS DOUBLE) AS area_sqm, '4-ти ет' AS floor_text, CAST(2008 AS INTEGER) AS construction_year, "
+       f"CAST({K} AS VARCHAR) AS listing_code, 'lozenets' AS district, 'dvustaen-apartament' AS property_type, CAST(p_size + 30 AS DOUBLE) AS area_sqm, '4-ти ет. от 8' AS floor_text, CAST(2008 AS INTEGER) AS construction_year, "
        f"CAST(({K} % 300 + 20) * 1000 + 500 AS DOUBLE) AS price_eur, CAST(({K} % 300 + 20) * 2000 AS DOUBLE) AS price_bgn, 'lozenets|dvustaen-apartament|' || (p_size + 30) || '|' || (({K} % 300 + 20) * 1000 + 500) AS hash_signature FROM part")
 def extract_agency_listings(spark, sf):
     """Listings of agency pages with signature."""

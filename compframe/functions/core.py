@@ -35,21 +35,27 @@ def group(c: Column, pattern: str, idx: int = 1, flags: str = "U") -> Column:
     return blank_to_null(F.regexp_extract(c, f"(?{flags}){pattern}", idx))
 
 
-def contains_any(c: Column, words: Iterable[str]) -> Column:
-    """True where one of a fixed list of words is contained."""
+def _any(v: Column, words: Iterable[str]) -> Column:
     test = F.lit(False)
     for w in words:
-        test = test | F.contains(c, F.lit(w))
+        test = test | F.contains(v, F.lit(w))
     return test
 
 
+def contains_any(c: Column, words: Iterable[str]) -> Column:
+    """True where one of a fixed list of words is contained."""
+    return let(c, lambda v: _any(v, words))
+
+
 def first_listed(c: Column, table: Iterable[tuple[Iterable[str], object]]) -> Column:
     """Value of the first entry with a contained word, in table order."""
-    out = None
-    for words, value in table:
-        cond = contains_any(c, words)
-        out = F.when(cond, F.lit(value)) if out is None else out.when(cond, F.lit(value))
-    return out
+    def chain(v: Column) -> Column:
+        out = F
+        for words, value in table:
+            out = out.when(_any(v, words), F.lit(value))
+        return out
+
+    return let(c, chain)
 
 
 def constant(value: object, schema: str) -> Column:

@@ -24,7 +24,7 @@ def iso_stamp(c: Column | str) -> Column:
     full = F.regexp_extract(c, r"(?U)(\d{2})\.(\d{2})\.(\d{4})(?:\s+(\d{2}):(\d{2}))?", 0)
     day = F.concat_ws("-", F.substring(full, 7, 4), F.substring(full, 4, 2), F.substring(full, 1, 2))
     clock = F.right(full, F.lit(5))
-    return (F.when(full == "", c)
+    return (F.when(c.isNull() | (full == ""), c)
             .when(F.length(full) > 10, F.concat(day, F.lit("T"), clock, F.lit(":00")))
             .otherwise(day))
 

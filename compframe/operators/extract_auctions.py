@@ -53,8 +53,8 @@ MAX_FLOOR = 30
 
 def extract_ids(pages: DataFrame) -> DataFrame:
     """Distinct auction ids linked from list pages; the union over all courts."""
-    ids = F.explode(H.all_matches(F.col("html"), LISTED_ID))
-    return pages.select(ids.cast("bigint").alias("id")).distinct()
+    ids = pages.select(F.explode(H.all_matches(F.col("html"), LISTED_ID)).alias("id"))
+    return ids.select(F.col("id").cast("bigint").alias("id")).distinct()
 
 
 def _labelled(html: Column, label: str, min_length: int) -> Column:

@@ -20,7 +20,7 @@ DESCRIPTION_FLOORS = [r"(\d+)[\s-]?(?:ти|ри|ви)?\s*етаж", r"етаж[\
 
 def first_contained(c: Column, words: list[str]) -> Column:
     """First word of an ordered list that the text contains."""
-    return F.get(F.filter(string_array(words), lambda w: F.contains(c, w)), F.lit(0))
+    return let(c, lambda v: F.get(F.filter(string_array(words), lambda w: F.contains(v, w)), F.lit(0)))
 
 
 def enrich_description(c: Column) -> Column:
@@ -58,14 +58,14 @@ def is_property_post(c: Column) -> Column:
 
 def post_price(c: Column) -> Column:
     """First plausible price as a struct (amount, currency)."""
-    options = []
-    for pattern, idx, currency in POST_PRICES:
+    def option(pattern: str, idx: int, currency: str) -> Column:
         raw = F.regexp_replace(group(c, pattern, idx, "iU"), r"(?U)\s", "")
         raw = F.regexp_replace(raw, r"^([^,]*),", "$1")
         number = F.regexp_extract(raw, r"^(\d*\.?\d*)", 1).try_cast("double")
-        options.append(let(number, lambda n, cur=currency: F.when(
-            (n > 100) & (n < 10000000), F.struct(n.alias("amount"), F.lit(cur).alias("currency")))))
-    return F.coalesce(*options)
+        return let(number, lambda n: F.when((n > 100) & (n < 10000000), F.struct(
+            n.alias("amount"), F.lit(currency).alias("currency"))))
+
+    return F.coalesce(*[option(*p) for p in POST_PRICES])
 
 
 def post_location(c: Column) -> Column:
@@ -81,11 +81,8 @@ def post_type(c: Column) -> Column:
 
 
 def post_transaction(c: Column) -> Column:
-    low, out = F.lower(c), None
-    for pattern, kind in L.POST_TRANSACTIONS:
-        hit = contains_any(low, pattern.split("|"))
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return out.otherwise("unknown")
+    kinds = [(pattern.split("|"), kind) for pattern, kind in L.POST_TRANSACTIONS]
+    return F.coalesce(first_listed(F.lower(c), kinds), F.lit("unknown"))
 
 
 def post_phones(c: Column) -> Column:
@@ -103,11 +100,11 @@ def post_size(c: Column) -> Column:
 
 
 def classify_posts(posts: DataFrame) -> DataFrame:
-    """Property posts with their fields; other posts are left out."""
-    t = F.col("text")
-    return posts.where(is_property_post(t)).withColumns({
-        "price": post_price(t), "location": post_location(t), "property_type": post_type(t),
-        "transaction_type": post_transaction(t), "contact": post_phones(t), "size": post_size(t),
-    })
-
-
+    """Property posts with their fields; other posts are left out.
+
+    The generator reads each text once and gives no row for a post that is not relevant.
+    """
+    fields = let(F.col("text"), lambda t: F.when(is_property_post(t), F.array(F.struct(
+        post_price(t).alias("price"), post_location(t).alias("location"), post_type(t).alias("property_type"),
+        post_transaction(t).alias("transaction_type"), post_phones(t).alias("contact"), post_size(t).alias("size")))))
+    return posts.select("*", F.explode(fields).alias("post")).select(*posts.columns, "post.*")
