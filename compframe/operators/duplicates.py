@@ -18,7 +18,7 @@ import math
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from compframe.config import DuplicateConfig
@@ -62,10 +62,27 @@ def similar_texts(values: DataFrame, threshold: float) -> DataFrame:
 
 
 def profiles(listings: DataFrame) -> DataFrame:
-    """Distinct profiles with the span of their listing ids and agencies."""
-    return listings.groupBy(*PROFILE).agg(
-        F.count("*").alias("listings"), F.min("id").alias("first_id"), F.max("id").alias("last_id"),
-        F.min("agency").alias("first_agency"), F.max("agency").alias("last_agency"))
+    """Distinct profiles with the lowest and highest listing id, the agencies of those, and
+    the lowest and highest id of any other agency."""
+    per_agency = listings.groupBy(*PROFILE, "agency").agg(
+        F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    group = Window.partitionBy(*PROFILE)
+    ranked = per_agency.withColumns({"up": F.row_number().over(group.orderBy("lo")),
+                                     "down": F.row_number().over(group.orderBy(F.col("hi").desc()))})
+    up, down = F.col("up"), F.col("down")
+    return ranked.groupBy(*PROFILE).agg(
+        F.sum("n").alias("listings"), F.min("lo").alias("first_id"), F.max("hi").alias("last_id"),
+        F.max(F.when(up == 1, F.col("agency"))).alias("first_agency"),
+        F.max(F.when(down == 1, F.col("agency"))).alias("last_agency"),
+        F.max(F.when(up == 2, F.col("lo"))).alias("other_first_id"),
+        F.max(F.when(down == 2, F.col("hi"))).alias("other_last_id"))
+
+
+def _paired(a: Column, b: Column) -> Column:
+    """True where some listing of ``a`` has a lower id than one of ``b`` in another agency."""
+    return F.when(a["first_agency"] != b["last_agency"], a["first_id"] < b["last_id"]).otherwise(
+        F.coalesce(a["first_id"] < b["other_last_id"], F.lit(False))
+        | F.coalesce(a["other_first_id"] < b["last_id"], F.lit(False)))
 
 
 def _bucket(c: Column, rel: float) -> Column:
@@ -169,12 +186,10 @@ def duplicate_profiles(listings: DataFrame, cfg: DuplicateConfig = DuplicateConf
     kinds = _close_texts(rows, "property_type", cfg.type_ratio)
     one = rows.select("pid", F.struct(*[c for c in rows.columns if c != "pid"]).alias("x"))
     pairs = candidate_pairs(rows, districts, kinds, cfg).unionByName(
-        rows.where("first_agency != last_agency").select(F.col("pid").alias("pid_a"), F.col("pid").alias("pid_b")))
+        rows.where("other_first_id IS NOT NULL").select(F.col("pid").alias("pid_a"), F.col("pid").alias("pid_b")))
     sided = (pairs.join(one.select(F.col("pid").alias("pid_a"), F.col("x").alias("a")), "pid_a")
              .join(one.select(F.col("pid").alias("pid_b"), F.col("x").alias("b")), "pid_b"))
-    one_agency = ((F.col("a.first_agency") == F.col("a.last_agency")) & (F.col("b.first_agency") == F.col("b.last_agency"))
-                  & (F.col("a.first_agency") == F.col("b.first_agency")))
-    possible = sided.where((F.col("a.first_id") < F.col("b.last_id")) & ~one_agency)
+    possible = sided.where(_paired(F.col("a"), F.col("b")))
     return score_pairs(possible, districts, kinds, cfg).select("pid_a", "pid_b", "a", "b", "confidence", "reasons")
 
 
