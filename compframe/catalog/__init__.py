@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["valuation", "browsing", "market", "appraisal", "extraction", "duplicates", "words"]
+FAMILIES = ["valuation", "browsing", "market", "appraisal", "extraction", "duplicates", "words", "streams", "files"]
 
 
 def load():

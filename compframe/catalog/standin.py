@@ -95,7 +95,13 @@ def market_sql() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return zoned(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def zoned(df: DataFrame) -> DataFrame:
+    """Wall-clock times as timestamps of the session's zone."""
+    plain = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in plain}) if plain else df
 
 
 def auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
