@@ -166,3 +166,10 @@ def verified_subscribers(spark, sf):
 def best_rank(spark, sf):
     rows = B.load_view(deals(spark, sf))
     return rows.select("id", F.round(P.best_rank(F.col("discount"), F.coalesce("savings_eur", F.lit(0))), 6).alias("rank"))
+
+
+@query("top_discounted", f"WITH {DEALS} SELECT id, discount FROM deals WHERE discount > 0 ORDER BY discount DESC, price, CAST(id AS BIGINT) LIMIT 5")
+def top_discounted(spark, sf):
+    """Five best wholly owned deals."""
+    from compframe.plans.export import top_discounted as top
+    return top(deals(spark, sf)).select("id", "discount")

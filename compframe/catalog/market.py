@@ -80,6 +80,20 @@ def market_by_city(spark, sf):
     return G.price_stats_by(S.market(spark, sf), "city").orderBy(F.col("listings").desc())
 
 
+@query("city_medians", f"{MARKET} SELECT city, count(*) AS n, list_sort(list(price_per_sqm))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median FROM market GROUP BY city")
+def city_medians(spark, sf):
+    """Upper median per town (A1)."""
+    return G.upper_median(S.market(spark, sf).select("city", "price_per_sqm"), ["city"], "price_per_sqm", 50.0)
+
+
+@query("city_quartiles", f"{MARKET} SELECT city, round(median(price_eur), 6) AS median, quantile_disc(price_eur, 0.25) AS low, quantile_disc(price_eur, 0.75) AS high FROM market GROUP BY city")
+def city_quartiles(spark, sf):
+    """Interpolated median and nearest-rank quartiles (A2, A3)."""
+    return S.market(spark, sf).groupBy("city").agg(
+        F.round(F.median("price_eur"), 6).alias("median"), G.nearest_rank("price_eur", 25).alias("low"),
+        G.nearest_rank("price_eur", 75).alias("high"))
+
+
 @query("active_by_type", f"{AUCTIONS} SELECT property_type, count(*) AS n FROM auctions WHERE NOT is_expired GROUP BY 1")
 def active_by_type(spark, sf):
     return G.active_by(S.auctions(spark, sf), "property_type")

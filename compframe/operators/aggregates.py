@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from compframe.functions.core import strip
 from compframe.operators.ranking import top_per_group
 
 
-def upper_median(values: Column) -> Column:
-    """Element n//2 of the sorted values, for groups known to be small."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+def _holder(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per key the first value whose running count passes ``rank`` (from 0)."""
+    run = F.sum("n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    before = F.col("_upto") - F.col("n")
+    return counted.withColumn("_upto", run).where((F.col("_upto") > F.col("rank")) & (before <= F.col("rank"))).select(
+        *keys, value, (F.col("rank") - before).alias("rank"))
+
+
+def upper_median(rows: DataFrame, keys: list[str], value: str, step: float) -> DataFrame:
+    """Exact element n//2 of the sorted values per key, as (keys, n, median).
+
+    Values are counted in steps first; only the step that holds the wanted rank is looked
+    at value by value. A key with a third of all rows is never sorted as one group.
+    """
+    known = rows.where(F.col(value).isNotNull()).withColumn("_step", F.floor(F.col(value) / F.lit(step)))
+    steps = known.groupBy(*keys, "_step").agg(F.count("*").alias("n"))
+    sizes = steps.groupBy(*keys).agg(F.sum("n").alias("total"))
+    ranked = steps.join(sizes, keys).withColumn("rank", F.floor(F.col("total") / 2)).drop("total")
+    held = _holder(ranked, keys, "_step")
+    inside = known.join(held, [*keys, "_step"]).groupBy(*keys, value, "rank").agg(F.count("*").alias("n"))
+    return _holder(inside, keys, value).drop("rank").join(sizes, keys).select(
+        *keys, F.col("total").alias("n"), F.col(value).alias("median"))
 
 
 def nearest_rank(values: str, pct: float) -> Column:
