@@ -25,9 +25,8 @@ NOW = "2024-03-15 10:00:00"
 
 
 def pick(index: str, values: list[str]) -> str:
-    """CASE expression for the value at a position."""
-    arms = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
-    return f"CASE {index} {arms} END"
+    """Expression for the value at a position, counted from 0."""
+    return f"split_part('{'|'.join(values)}', '|', CAST({index} AS INT) + 1)"
 
 
 def town(third: str, other: str) -> str:
@@ -47,9 +46,9 @@ AUCTIONS = [
     f"CASE WHEN {K} % 20 = 0 THEN 'ж.к. \"' || ({HOOD_OF_PART}) || '\", бл. 12' "
     f"WHEN {K} % 10 = 0 THEN 'ул. Роза 7' WHEN {K} % 25 = 5 THEN NULL "
     f"ELSE 'ул. Шипка ' || CAST({K} % 50 + 1 AS VARCHAR(4)) END AS address",
-    f"p_retailprice * (p_size + ({K} % 4) * 15) * ({K} % 7 * 0.4 + 0.5) AS price_eur",
-    f"p_size + ({K} % 4) * 15 + CASE WHEN {K} % 6 = 0 THEN 0.5 ELSE 0.0 END "
-    f"+ CASE WHEN {K} % 97 = 0 THEN 500.0 ELSE 0.0 END AS size_raw",
+    f"p_retailprice * (p_size + ({K} % 4) * 15) * (CAST({K} % 7 * 4 + 5 AS DOUBLE) / 10) AS price_eur",
+    f"CAST(p_size + ({K} % 4) * 15 + CASE WHEN {K} % 97 = 0 THEN 500 ELSE 0 END AS DOUBLE) "
+    f"+ CAST(CASE WHEN {K} % 6 = 0 THEN 1 ELSE 0 END AS DOUBLE) / 2 AS size_raw",
     f"CASE WHEN {K} % 8 = 0 THEN NULL ELSE {K} % 9 END AS floor",
     "CASE p_type WHEN 'ECONOMY' THEN 'Едностаен апартамент' WHEN 'SMALL' THEN 'Двустаен апартамент' "
     "WHEN 'MEDIUM' THEN 'Тристаен апартамент' WHEN 'LARGE' THEN 'Многостаен апартамент' "
@@ -63,7 +62,7 @@ AUCTIONS = [
 MARKET = [
     f"{town('l_orderkey', 'l_suppkey')} AS city",
     f"CASE WHEN l_linenumber = 7 THEN NULL ELSE ({pick(f'(l_partkey * 5 + l_suppkey) % {len(HOODS)}', HOODS)}) END AS neighborhood",
-    "l_quantity + (l_linenumber - 1) * 12.0 AS size_raw",
+    "l_quantity + (l_linenumber - 1) * 12 AS size_raw",
     "l_extendedprice AS price_raw",
     "l_quantity AS quantity_raw",
     "CASE WHEN l_linenumber > 5 THEN NULL ELSE l_linenumber END AS rooms",
@@ -87,9 +86,8 @@ def auctions_sql() -> str:
 def market_sql() -> str:
     return (
         "market AS (SELECT city, neighborhood, size_sqm, price_eur, "
-        "CAST(printf('%.2f', price_eur / size_sqm) AS DOUBLE) AS price_per_sqm, rooms, source, scraped_at FROM ("
-        "SELECT city, neighborhood, CAST(size_raw AS DOUBLE) AS size_sqm, "
-        "price_raw / quantity_raw * CAST(size_raw AS DOUBLE) AS price_eur, rooms, source, scraped_at FROM ("
+        "CAST(printf('%.2f', price_raw / quantity_raw) AS DOUBLE) AS price_per_sqm, rooms, source, scraped_at FROM ("
+        "SELECT *, CAST(size_raw AS DOUBLE) AS size_sqm, price_raw / quantity_raw * CAST(size_raw AS DOUBLE) AS price_eur FROM ("
         f"SELECT {', '.join(MARKET)} FROM lineitem)))"
     )
 
@@ -119,8 +117,9 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").selectExpr(*MARKET)
     priced = rows.select("city", "neighborhood", size.alias("size_sqm"),
                          (F.col("price_raw") / F.col("quantity_raw") * size).alias("price_eur"),
+                         price_per_sqm("price_raw", "quantity_raw").alias("price_per_sqm"),
                          "rooms", "source", "scraped_at")
-    return priced.withColumn("price_per_sqm", price_per_sqm("price_eur", "size_sqm"))
+    return priced
 
 
 def now():

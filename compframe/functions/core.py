@@ -82,14 +82,10 @@ def round_exact(c: Column, digits: int = 0) -> Column:
     if digits == 0:
         return F.rint(c)
     scale = float(10 ** digits)
-
-    def pick(x: Column) -> Column:
-        y = x * F.lit(scale)
-        near_tie = F.abs(F.abs(y - F.floor(y)) - F.lit(0.5)) < F.lit(1e-4)
-        text = F.call_function("format_number", x, F.lit("0." + "0" * digits))
-        return F.when(near_tie, text.cast("double")).otherwise(F.rint(y) / F.lit(scale))
-
-    return let(c, pick)
+    y = c * F.lit(scale)
+    near_tie = F.abs(F.abs(y - F.floor(y)) - F.lit(0.5)) < F.lit(1e-4)
+    text = F.call_function("format_number", c, F.lit("0." + "0" * digits))
+    return F.when(near_tie, text.cast("double")).otherwise(F.rint(y) / F.lit(scale))
 
 
 def round_half_up(c: Column) -> Column:
