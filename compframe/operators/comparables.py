@@ -23,7 +23,7 @@ from compframe.functions import price as P
 from compframe.functions import text as T
 from compframe import lookups as L
 from compframe.operators.filters import sane_comparable
-from compframe.session import staged
+from compframe.session import staged, staged_together
 
 WHOLE_TOWN = ""              # district key of a town-wide window
 ALL_SIZES = -(1 << 40)       # size bucket of a window without bounds
@@ -254,10 +254,10 @@ def value_subjects(subjects: DataFrame, market: DataFrame,
     range of the town at that size (range_min, range_max). Unmatched rows keep nulls.
     """
     keyed = subject_key(subjects)
-    keys = staged(keyed.select(*KEY).distinct()
-                  .withColumn("kid", F.monotonically_increasing_id()), "ladder-keys")
     clean = sane_market(market, cfg)
-    cells = staged(scoped_cells(clean, cfg), "ladder-cells")
+    keys, cells = staged_together(
+        ladder_keys=keyed.select(*KEY).distinct().withColumn("kid", F.monotonically_increasing_id()),
+        ladder_cells=scoped_cells(clean, cfg))
     pairs = staged(market_pairs(keys, cells, cfg), "ladder-hoods")
 
     tried = keys.withColumn("w", F.explode(_pass_windows(cfg))).select("kid", "city", "w.*")

@@ -24,7 +24,7 @@ from pyspark.sql.types import DoubleType
 from compframe.config import DuplicateConfig
 from compframe.functions import price as P
 from compframe.operators.ranking import top_per_group
-from compframe.session import staged
+from compframe.session import staged, staged_together
 
 PROFILE = ["district", "property_type", "area_sqm", "price_eur", "floor_text"]
 
@@ -96,7 +96,7 @@ def _around(c: Column) -> Column:
 
 def _close_texts(rows: DataFrame, field: str, threshold: float) -> DataFrame:
     values = rows.where(F.col(field).isNotNull()).select(F.col(field).alias("v")).distinct()
-    return staged(similar_texts(values, threshold), f"similar-{field}")
+    return similar_texts(values, threshold)
 
 
 def candidate_pairs(rows: DataFrame, districts: DataFrame, kinds: DataFrame, cfg: DuplicateConfig) -> DataFrame:
@@ -182,8 +182,9 @@ def duplicate_profiles(listings: DataFrame, cfg: DuplicateConfig = DuplicateConf
     where it can match. The order counts because the text likeness depends on it.
     """
     rows = staged(profiles(listings).withColumn("pid", F.monotonically_increasing_id()), "profiles")
-    districts = _close_texts(rows, "district", cfg.district_ratio)
-    kinds = _close_texts(rows, "property_type", cfg.type_ratio)
+    districts, kinds = staged_together(
+        similar_districts=_close_texts(rows, "district", cfg.district_ratio),
+        similar_types=_close_texts(rows, "property_type", cfg.type_ratio))
     one = rows.select("pid", F.struct(*[c for c in rows.columns if c != "pid"]).alias("x"))
     pairs = candidate_pairs(rows, districts, kinds, cfg).unionByName(
         rows.where("other_first_id IS NOT NULL").select(F.col("pid").alias("pid_a"), F.col("pid").alias("pid_b")))
@@ -250,8 +251,9 @@ def duplicate_clusters(listings: DataFrame, cfg: DuplicateConfig = DuplicateConf
     A node is linked with the first three agencies of each matching profile (its own
     excepted); that leaves the same clusters as linking it with all of them.
     """
-    matches = staged(duplicate_profiles(listings, cfg), "matches")
-    nodes = staged(listings.groupBy(*PROFILE, "agency").agg(F.min("id").alias("node")), "nodes")
+    matches, nodes = staged_together(
+        matches=duplicate_profiles(listings, cfg),
+        nodes=listings.groupBy(*PROFILE, "agency").agg(F.min("id").alias("node")))
     flat = matches.select(*[F.col(f"{s}.{f}").alias(f"{s}_{f}") for s in "ab" for f in PROFILE])
     turned = flat.unionByName(flat.select(*[F.col(f"{o}_{f}").alias(f"{s}_{f}")
                                             for s, o in (("a", "b"), ("b", "a")) for f in PROFILE]))

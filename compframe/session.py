@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
     Only where that setting is absent (tests, local runs) is a temporary folder used.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    named = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+             or sc.getCheckpointDir())
     if named is None:
         named = tempfile.mkdtemp(prefix="compframe-")
         sc.setCheckpointDir(named)
@@ -53,3 +55,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_together(**frames: DataFrame) -> list[DataFrame]:
+    """Stage several independent results at the same time, so that one job's tail does not idle the cluster."""
+    shared_folder(next(iter(frames.values())).sparkSession)
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(lambda item: staged(item[1], item[0].replace("_", "-")), frames.items()))
