@@ -24,7 +24,7 @@ from pyspark.sql.types import DoubleType
 from compframe.config import DuplicateConfig
 from compframe.functions import price as P
 from compframe.operators.ranking import top_per_group
-from compframe.session import staged, staged_together
+from compframe.session import staged, staged_together, unstage
 
 PROFILE = ["district", "property_type", "area_sqm", "price_eur", "floor_text"]
 
@@ -223,10 +223,12 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Alternates between linking higher neighbours to the lowest id around (large star) and
     re-linking lower neighbours (small star), which needs few rounds even on long chains.
-    Every round is written to the shared folder. A node with a third of all edges is only
-    a key of a min aggregation, never one collected group.
+    Every round is written to the shared folder and the one before is removed. A node with a
+    third of all edges is only a key of a min aggregation, never one collected group.
+    The links of a round stand still when their number and the sum of their hashes do.
     """
     links = staged(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    mark = _mark(links)
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -236,14 +238,18 @@ def connected(edges: DataFrame) -> DataFrame:
         small = staged(
             large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
             .unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        grown = small.join(links, ["u", "v"], "left_anti").limit(1).count()
-        same_size = small.count() == links.count()
-        links = small
-        if not grown and same_size:
+        unstage(links, large)
+        links, before, mark = small, mark, _mark(small)
+        if mark == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("cluster")).unionByName(
                 links.select(F.col("v").alias("node"), F.col("v").alias("cluster")).distinct())
 
 
+def _mark(links: DataFrame) -> tuple:
+    """Number of links and an order-free digest of them."""
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+
 def duplicate_clusters(listings: DataFrame, cfg: DuplicateConfig = DuplicateConfig()) -> DataFrame:
     """(id, cluster): listings joined by chains of matches; the cluster is its lowest id.
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: set[str] = set()
+
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """Session for tests and for bench.py; a cluster brings its own settings."""
@@ -34,31 +39,66 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, local runs) is a temporary folder used.
+    A temporary folder serves only where that setting is absent and the master is local;
+    elsewhere its absence is an error, since executors would each write to their own disk.
     """
     sc = spark.sparkContext
     named = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
              or sc.getCheckpointDir())
     if named is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {sc.master})")
         named = tempfile.mkdtemp(prefix="compframe-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
     return named
 
 
+def job_folder(spark: SparkSession) -> str:
+    """This application's own folder inside the shared one; the driver removes it when it ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/compframe-{spark.sparkContext.applicationId}"
+    if path not in _FOLDERS:
+        _FOLDERS.add(path)
+        atexit.register(remove_path, spark, path)
+    return path
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """An unused path in the job's folder."""
+    return f"{job_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder through Spark's own file system layer; nothing happens once Spark is gone."""
+    sc = spark.sparkContext
+    if sc._jsc is None:
+        return
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate result to the shared folder and read it back.
+    """Write an intermediate result to the job's folder and read it back.
 
     Cuts the lineage of multi-stage and iterative jobs: a lost executor repeats one stage,
     and the planner sees the true size of what was written when it chooses joins.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Remove staged results that nothing reads any more."""
+    for df in frames:
+        remove_path(df.sparkSession, df.staged_at)
 
 
 def staged_together(**frames: DataFrame) -> list[DataFrame]:
     """Stage several independent results at the same time, so that one job's tail does not idle the cluster."""
-    shared_folder(next(iter(frames.values())).sparkSession)
+    job_folder(next(iter(frames.values())).sparkSession)
     with ThreadPoolExecutor(len(frames)) as pool:
         return list(pool.map(lambda item: staged(item[1], item[0].replace("_", "-")), frames.items()))
