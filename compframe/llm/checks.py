@@ -3,3 +3,28 @@
 from __future__ import annotations
 
 CHECKS: dict[str, str] = {}
+
+#: Words of every document, numbered from 0.
+_WORDS = r"""
+words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents))"""
+
+CHECKS["op8_substrings"] = f"""
+WITH {_WORDS},
+windows AS (
+  SELECT doc_id, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS t, n
+  FROM words),
+marked AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) > 1 AS again FROM windows WHERE i + 20 <= n),
+covered AS (
+  SELECT w.doc_id, w.word, w.i,
+    coalesce(max(m.again) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM words w LEFT JOIN marked m USING (doc_id, i)),
+summed AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+    sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+  FROM covered GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM documents d LEFT JOIN summed s USING (doc_id)
+"""

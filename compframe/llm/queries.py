@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from compframe.llm import bpe, counts, quality, secrets, simhash, warc
+from compframe.llm import bpe, counts, quality, secrets, simhash, substrings, warc
 from compframe.llm.checks import CHECKS
 from compframe.llm.common import table
 
@@ -35,9 +36,14 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op3_warc, op4_bpe, op5_token_counts, op6_secrets, op9_quality)}
+    f.__name__: f for f in (op2_simhash, op3_warc, op4_bpe, op5_token_counts, op6_secrets, op8_substrings, op9_quality)}
