@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from compframe.llm import bpe, counts, quality, secrets, simhash, substrings, warc
+from compframe.llm import bpe, counts, hmm, quality, secrets, simhash, substrings, warc
 from compframe.llm.checks import CHECKS
 from compframe.llm.common import table
 
@@ -45,5 +45,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op3_warc, op4_bpe, op5_token_counts, op6_secrets, op8_substrings, op9_quality)}
+    f.__name__: f for f in (op2_simhash, op3_warc, op4_bpe, op5_token_counts, op6_secrets, op8_substrings, op9_quality, op10_hmm)}
