@@ -59,10 +59,10 @@ def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, i
         start = stop
 
 
-def by_slice(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+def by_slice(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into slices by the bytes of its text column."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-    for a, b in slices(sizes.astype(np.int64)):
+    for a, b in slices(sizes.astype(np.int64), limit):
         yield batch.slice(a, b - a)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from compframe.llm import bpe, counts, hmm, quality, secrets, simhash, substrings, warc
+from compframe.llm import bpe, counts, decontam, hmm, quality, secrets, simhash, substrings, warc
 from compframe.llm.checks import CHECKS
 from compframe.llm.common import table
 
@@ -36,6 +36,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.without_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
@@ -50,4 +54,4 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op3_warc, op4_bpe, op5_token_counts, op6_secrets, op8_substrings, op9_quality, op10_hmm)}
+    f.__name__: f for f in (op2_simhash, op3_warc, op4_bpe, op5_token_counts, op6_secrets, op7_decontamination, op8_substrings, op9_quality, op10_hmm)}
