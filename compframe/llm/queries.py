@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from compframe.llm import bpe, counts, decontam, hmm, quality, secrets, simhash, substrings, warc
+from compframe.llm import bpe, counts, decontam, hmm, lines, quality, secrets, simhash, substrings, warc
 from compframe.llm.checks import CHECKS
 from compframe.llm.common import table
 
@@ -16,6 +16,10 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,4 +58,4 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op3_warc, op4_bpe, op5_token_counts, op6_secrets, op7_decontamination, op8_substrings, op9_quality, op10_hmm)}
+    f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_warc, op4_bpe, op5_token_counts, op6_secrets, op7_decontamination, op8_substrings, op9_quality, op10_hmm)}
