@@ -1,7 +1,7 @@
 """Quality rules and a hashed n-gram likelihood ratio, all in DataFrame functions.
 
 **Method.** Words and word pairs are hashed into ``BUCKETS`` buckets. Bucket counts of a trusted
-target and of the whole raw corpus give two smoothed multinomials. A document's verdict is the mean
+target and of the whole raw corpus give two multinomials, the target's smoothed towards the raw one. A document's verdict is the mean
 over its n-grams of log P(target) - log P(raw), held against a fixed threshold: text as the target
 has it lies around zero whatever its length, junk far below. Natural logarithm.
 
@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 
 BUCKETS = 10_007
 TRUSTED = 4_000
-SMOOTHING = 1.0
+#: Added to each raw bucket; tokens by which the target leans on the raw corpus, so that a small sample accuses nobody.
+SMOOTHING, LEANING = 1.0, 100_000
 THRESHOLD = -0.08
+#: Columns that are added to a table of the user's; no name that anyone chooses.
+RULES, TABLE = "\x01rules", "\x01weights"
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
 SEPARATORS = "\t\n\x0b\x0c\r"
@@ -122,12 +125,11 @@ def weights(counts: DataFrame) -> list[float] | None:
     if not target:
         return None
     at = {r.bucket: r for r in rows}
-    spread = SMOOTHING * BUCKETS
 
     def ratio(b: int) -> float:
-        r = at.get(b)
-        t, w = (r.target, r.raw) if r else (0, 0)
-        return math.log((t + SMOOTHING) / (target + spread)) - math.log((w + SMOOTHING) / (raw + spread))
+        t, w = (at[b].target, at[b].raw) if b in at else (0, 0)
+        share = (w + SMOOTHING) / (raw + SMOOTHING * BUCKETS)
+        return math.log((t + LEANING * share) / (target + LEANING)) - math.log(share)
 
     return [ratio(b) for b in range(BUCKETS)]
 
@@ -139,7 +141,7 @@ def log_ratio(words: Column, table: Column) -> Column:
 
 
 def judged(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with a struct column ``rules`` of the base counts, ``base_failed``, ``score`` and ``kept``."""
+    """``docs`` with a struct column (named by ``RULES``) of the base counts, ``base_failed``, ``score`` and ``kept``."""
     spark = docs.sparkSession
     table = weights(bucket_counts(docs, trusted_ids(labels), id, text))
 
@@ -147,24 +149,24 @@ def judged(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
         n = F.size(w).cast("long")
         chars = F.length(F.translate(F.coalesce(F.col(text), F.lit("")), " " + SEPARATORS, "")).cast("long")
         marks = (F.length(F.coalesce(F.col(text), F.lit(""))) - F.length(F.translate(F.coalesce(F.col(text), F.lit("")), "#*$%&|<>", ""))).cast("long")
-        score = F.lit(None).cast("double") if table is None else log_ratio(w, F.col("llr_table"))
+        score = F.lit(None).cast("double") if table is None else log_ratio(w, F.col(TABLE))
         return F.struct(n.alias("n_words"), chars.alias("word_chars"), marks.alias("n_symbols"), duplicate_lines(F.col(text)).alias("n_dup_lines"),
                         repeated_words(w).alias("n_repeat_words"), score.alias("score"))
 
-    weight = spark.createDataFrame([(table,)], "llr_table array<double>").scalar()  # one value of fixed size
-    found = docs.withColumn("llr_table", weight).withColumn("rules", let(words_of(F.col(text)), rules)).drop("llr_table")
-    r = F.col("rules")
+    weight = spark.createDataFrame([(table,)], "weights array<double>").scalar()  # one value of fixed size
+    found = docs.withColumn(TABLE, weight).withColumn(RULES, let(words_of(F.col(text)), rules)).drop(TABLE)
+    r = F.col(RULES)
     failed = (r["n_words"] < MIN_WORDS) | (100 * r["n_repeat_words"] > MAX_REPEATED * r["n_words"])
-    return found.withColumn("rules", r.withField("base_failed", failed).withField("kept", ~failed & (F.coalesce(r["score"], F.lit(0.0)) >= threshold)))
+    return found.withColumn(RULES, r.withField("base_failed", failed).withField("kept", ~failed & (F.coalesce(r["score"], F.lit(0.0)) >= threshold)))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) of every document."""
     slim = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return judged(slim, labels).select("doc_id", *[f"rules.{c}" for c in (
+    return judged(slim, labels).select("doc_id", *[f"{RULES}.{c}" for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")])
 
 
 def keep(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document is kept."""
-    return judged(docs, labels, id, text).where("rules.kept").select(*docs.columns)
+    return judged(docs, labels, id, text).where(F.col(RULES)["kept"]).select(*docs.columns)

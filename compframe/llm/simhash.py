@@ -131,9 +131,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with one text of each group of near-duplicates: the one with the smallest id.
 
-    Rows without an id are kept: nothing tells which of a group they are. Equal ids within a
-    group: one of the rows stays.
+    Rows without an id are kept: nothing tells which of a group they are. Of rows with equal ids
+    and equal texts one stays.
     """
     lead = near_duplicates(docs, id, text).where("doc_id = component_id").select(F.col("doc_id").alias(id)).distinct()
-    kept = docs.join(lead, id, "left_semi").dropDuplicates([id])
+    kept = docs.join(lead, id, "left_semi").dropDuplicates([id, text])
     return kept.unionByName(docs.where(F.col(id).isNull()))
