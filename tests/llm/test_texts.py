@@ -223,7 +223,7 @@ def test_quality_rules(spark, edge, nothing, rows):
 def test_ratio_tells_junk(spark, monkeypatch):
     monkeypatch.setattr(quality, "LEANING", 1000)  # the sample is small here
     rnd = random.Random(3)
-    good = [(i, " ".join(rnd.choice(["sun", "moon", "tree", "river", "cloud", "stone"]) + str(rnd.randrange(20)) for _ in range(120))) for i in range(80)]
+    good = [(i, " ".join(rnd.choice(["sun", "moon", "tree", "river", "cloud", "stone"]) + str(rnd.randrange(5)) for _ in range(120))) for i in range(80)]
     junk = [(100 + i, " ".join("#" + str(rnd.randrange(500)) + "!!" for _ in range(120))) for i in range(20)]
     docs = spark.createDataFrame(good + junk, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 80, 2)], "doc_id long, quality int, toxic int")
