@@ -52,9 +52,8 @@ def page_title(spark, sf):
         F.size(H.all_matches(h, "<p>", 0)).cast("bigint").alias("paragraphs"))
 
 
-UNESCAPED = "x"
-for _entity, _char in T._ENTITIES:
-    UNESCAPED = f"replace({UNESCAPED}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
+# the entities that the given pages hold, written out
+UNESCAPED = "replace(replace(replace(replace(replace(replace(x, '&nbsp;', chr(160)), '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&amp;', '&')"
 
 
 @query("visible_text", "SELECT page_id, trim(regexp_replace(" + UNESCAPED + ", '\\s+', ' ', 'g')) AS body FROM (SELECT page_id, "
@@ -117,13 +116,13 @@ def extract_auctions(spark, sf):
 CARD_PAGE = (
     "'<div class=\"top\">x</div><div class=\"property-card\"><a href=\"/properties/' || " + text("o_orderkey") + " || '\">виж</a>\nНачална цена: ' || "
     + text("o_orderkey % 900 + 5") + " || ' 100.00 EUR\nНАСЕЛЕНО МЯСТО: гр. Русе\nАдрес: ул. Шипка ' || " + text("o_orderkey % 60")
-    + " || '\nОКРЪЖЕН СЪД: Видин\nЧАСТЕН СЪДЕБЕН ИЗПЪЛНИТЕЛ: И. Петров\nСРОК: от 09.02.2026 до 10.03.2026\nОБЯВЯВАНЕ НА 10.03.2026 09:00\n</div>"
+    + " || '\nОКРЪЖЕН СЪД: Видин\nЧАСТЕН СЪДЕБЕН ИЗПЪЛНИТЕЛ: М. Колева\nСРОК: от 09.02.2026 до 10.03.2026\nОБЯВЯВАНЕ НА 10.03.2026 09:00\n</div>"
     "<article>реклама</article><div class=\"property-card\"><a href=\"/properties/' || " + text("o_orderkey + 500000")
     + " || '\">виж</a>\nс. Баня, обл. X\n1 234,5 EUR\n</div>'")
 
 
 @query("extract_auction_cards", "SELECT o_orderkey AS page_id, CAST(o_orderkey AS VARCHAR) AS id, CAST((o_orderkey % 900 + 5) * 1000 + 100 AS DOUBLE) AS price_eur, 'гр. Русе' AS city, "
-       "'ул. Шипка ' || o_orderkey % 60 AS address, 'Видин' AS court, 'И. Петров' AS executor, '2026-02-09' AS bid_start, '2026-03-10' AS bid_end, '2026-03-10T09:00:00' AS announce_date, "
+       "'ул. Шипка ' || o_orderkey % 60 AS address, 'Видин' AS court, 'М. Колева' AS executor, '2026-02-09' AS bid_start, '2026-03-10' AS bid_end, '2026-03-10T09:00:00' AS announce_date, "
        f"'{L.AUCTION_URL}' || o_orderkey AS url FROM orders UNION ALL SELECT o_orderkey, CAST(o_orderkey + 500000 AS VARCHAR), 1234.5::DOUBLE, 'Баня', NULL, NULL, NULL, NULL, NULL, NULL, "
        f"'{L.AUCTION_URL}' || (o_orderkey + 500000) FROM orders")
 def extract_auction_cards(spark, sf):
@@ -333,20 +332,24 @@ def post_classify(spark, sf):
                       F.col("location.neighborhood").alias("neighborhood"))
 
 
-def post_number(i: int) -> str:
-    pattern, idx, _ = W.POST_PRICES[i]
-    raw = f"regexp_replace(regexp_extract(text, '(?i){pattern}', {idx}), '\\s', '', 'g')"
+def post_number(pattern: str) -> str:
+    raw = f"regexp_replace(regexp_extract(text, '(?i){pattern}', 1), '\\s', '', 'g')"
     raw = f"regexp_replace({raw}, '^([^,]*),', '\\1')"
     return f"TRY_CAST(nullif(regexp_extract({raw}, '^(\\d*\\.?\\d*)', 1), '') AS DOUBLE)"
 
 
-N = [f"CASE WHEN n{i} > 100 AND n{i} < 10000000 THEN n{i} END" for i in range(3)]
-PHONES = " || ".join(f"regexp_extract_all(text, '{p}', 0)" for p in W.POST_PHONES)
-POST_SIZE = [f"TRY_CAST(nullif(regexp_extract(text, '(?i){p}', 1), '') AS INTEGER)" for p in W.POST_SIZES]
+# the published forms, written out: amounts, sizes and phones
+LEVA_PRICE, EURO_PRICE = "(\\d[\\d\\s,.]*)\\s*(?:лв|лева|bgn)", "(\\d[\\d\\s,.]*)\\s*(?:евро|euro|eur|€)"
+POST_NUMBERS = f"{post_number(LEVA_PRICE)} AS n0, {post_number(EURO_PRICE)} AS n1, lower(regexp_extract(text, '(?i)\\d[\\d\\s,.]*\\s*(лв|лева|bgn)', 1)) = 'лева' AS whole_word"
+N = [f"CASE WHEN n{i} > 100 AND n{i} < 10000000 THEN n{i} END" for i in range(2)]
+PHONES = ("regexp_extract_all(text, '(\\+359|0)[\\s.-]?(\\d{2,3})[\\s.-]?(\\d{3})[\\s.-]?(\\d{3,4})', 0) || "
+          "regexp_extract_all(text, '(\\d{3})[\\s.-]?(\\d{3})[\\s.-]?(\\d{3,4})', 0)")
+POST_SIZE = [f"TRY_CAST(nullif(regexp_extract(text, '(?i){p}', 1), '') AS INTEGER)" for p in
+             ("(\\d+)\\s*(?:кв\\.?м|квм|m2|м2|sqm)", "(\\d+)\\s*(?:sq\\.?\\s*m)")]
 
 
-@query("post_numbers", f"WITH {POSTS}, v AS (SELECT id, text, {', '.join(f'{post_number(i)} AS n{i}' for i in range(3))}, {', '.join(f'{s} AS s{i}' for i, s in enumerate(POST_SIZE))} FROM posts WHERE {RELEVANT}) "
-       f"SELECT id, coalesce({', '.join(N)}) AS amount, CASE WHEN {N[0]} IS NOT NULL THEN 'BGN' WHEN coalesce({N[1]}, {N[2]}) IS NOT NULL THEN 'EUR' END AS currency, "
+@query("post_numbers", f"WITH {POSTS}, v AS (SELECT id, text, {POST_NUMBERS}, {', '.join(f'{x} AS s{i}' for i, x in enumerate(POST_SIZE))} FROM posts WHERE {RELEVANT}) "
+       f"SELECT id, coalesce({', '.join(N)}) AS amount, CASE WHEN {N[0]} IS NOT NULL AND NOT whole_word THEN 'BGN' WHEN coalesce({N[0]}, {N[1]}) IS NOT NULL THEN 'EUR' END AS currency, "
        f"coalesce(CASE WHEN s0 > 10 AND s0 < 5000 THEN s0 END, CASE WHEN s1 > 10 AND s1 < 5000 THEN s1 END) AS size, "
        f"nullif(array_to_string(list_transform({PHONES}, lambda p: regexp_replace(p, '[\\s.-]', '', 'g')), ','), '') AS contact FROM v")
 def post_numbers(spark, sf):
@@ -363,8 +366,51 @@ def posts_for_sale(spark, sf):
     return W.classify_posts(posts(spark, sf)).where(transaction_is("sale")).select("id")
 
 
-@query("post_ids")
+@query("post_ids", f"WITH {POSTS} SELECT id, CASE WHEN id % 2 = 0 THEN CAST(id AS VARCHAR) ELSE 'hash_' || sha256(text) END AS post_id FROM posts")
 def post_ids(spark, sf):
     """Post ids from links or text hashes."""
     link = F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://x/groups/1/posts/"), F.col("id").cast("string")))
     return posts(spark, sf).select("id", T.post_id(link, F.col("text")).alias("post_id"))
+
+
+# ---------------------------------------------------------------- given pages with many cards in them
+
+N_CARDS = "CAST(page_id % 131 AS INTEGER)"  # from none to many
+MANY_LINKS = (f"html || array_join(transform(sequence(1, {N_CARDS}), i -> concat('<p><a href=\"/obiava-', i * 7 + page_id, '-prodava-dvustaen-apartament#top\">&sup2;</a></p>')), ' ') || html")
+MANY_CARDS = (f"html || array_join(transform(sequence(1, {N_CARDS}), i -> concat('<div class=\"listtop-item-params\">', element_at(array('Едностаен', 'Двустаен', 'Тристаен', 'Имот'), CAST(i % 4 + 1 AS INT)), "
+              "' Цена: ', i % 300 + 11, ' 900 &#8364; Квадратура: ', i % 90 + 14, ' кв.м</div>')), '<hr>') || html")
+
+
+def noisy(spark, sf, html: str):
+    return S.table(spark, sf, "pages").where("page_id IS NOT NULL").selectExpr(
+        "page_id", "'Русе' AS city", f"CASE WHEN {N_CARDS} > 0 THEN {html} ELSE html END AS html").withColumn("fetched_at", F.lit(S.NOW).cast("timestamp"))
+
+
+@query("many_index_links", f"SELECT page_id, CAST(i - 1 AS INTEGER) AS place, 'https://www.imot.bg/obiava-' || (i * 7 + page_id) || '-prodava-dvustaen-apartament' AS url "
+       f"FROM (SELECT page_id, unnest(range(1, {N_CARDS} + 1)) AS i FROM pages)")
+def many_index_links(spark, sf):
+    """All links of real pages with up to 130 adverts in them."""
+    return X.extract_index_links(noisy(spark, sf, MANY_LINKS)).select("page_id", "place", "url")
+
+
+MANY_PRICE = "CAST((i % 300 + 11) * 1000 + 900 AS DOUBLE)"
+
+
+@query("many_param_cards", f"SELECT page_id, CAST(i % 90 + 14 AS DOUBLE) AS size_sqm, {MANY_PRICE} AS price_eur, CAST(CASE i % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 END AS INTEGER) AS rooms "
+       f"FROM (SELECT page_id, unnest(range(1, {N_CARDS} + 1)) AS i FROM pages) WHERE i % 90 + 14 >= 15")
+def many_param_cards(spark, sf):
+    """All cards of real pages with up to 130 of them, prices with entities."""
+    return X.extract_param_cards(noisy(spark, sf, MANY_CARDS)).select("page_id", "size_sqm", "price_eur", "rooms")
+
+
+CYRILLIC = bytes(range(192, 256)).decode("cp1251")
+
+
+@query("decoded_agency_pages", f"SELECT CAST({K} AS BIGINT) AS page_id, ({S.HOOD_OF_PART}) || ' {CYRILLIC} № €' AS html FROM part")
+def decoded_agency_pages(spark, sf):
+    """Agency pages stored in windows-1251."""
+    from compframe.sources.readers import AGENCY_CHARSETS, decode_text
+    upper = bytes(range(128, 256))
+    body = S.table(spark, sf, "part").selectExpr(f"CAST({K} AS BIGINT) AS page_id", f"({S.HOOD_OF_PART}) || ' {CYRILLIC} № €' AS html")
+    stored = F.encode(F.translate("html", upper.decode("cp1251", errors="replace"), upper.decode("latin1")), "ISO-8859-1")
+    return body.select("page_id", decode_text(stored, AGENCY_CHARSETS).alias("html"))

@@ -373,7 +373,7 @@ def items_today(spark, sf):
 def newest_items(spark, sf):
     """Newest 500 items."""
     rows = S.table(spark, sf, "events").select(F.col("event_id").alias("id"), "ts")
-    return R.newest(rows).select("id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+    return R.newest(rows, 500).select("id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
 @query("freshness", "SELECT CAST(CAST(max(ts) AS DATE) AS VARCHAR) AS newest, CAST(max(ts) AS DATE) = DATE '2024-01-30' AS fresh FROM events")

@@ -62,6 +62,5 @@ MIN_LISTINGS_PER_SOURCE = 5
 COVERAGE_ALARM_PCT = 20.0
 PAGE_SIZE = 12
 ALERT_LIMIT = 10
-STORED_POSTS = 500
 RATE_LIMIT_MAX = 5
 RATE_LIMIT_WINDOW_S = 60

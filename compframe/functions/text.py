@@ -156,16 +156,37 @@ def thousands_number(c: Column | str) -> Column:
     return F.replace(as_col(c), F.lit(","), F.lit("")).try_cast("double")
 
 
-# The entities that occur in stored pages.
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-             ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")]
+# Named entities of stored pages; the ampersand comes last, so that nothing is decoded twice.
+_ENTITIES = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&euro;", "€"),
+             ("&sup2;", "²"), ("&sup3;", "³"), ("&frac14;", "¼"), ("&frac12;", "½"), ("&frac34;", "¾"), ("&deg;", "°"),
+             ("&laquo;", "«"), ("&raquo;", "»"), ("&bdquo;", "„"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&lsquo;", "‘"),
+             ("&rsquo;", "’"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&middot;", "·"), ("&bull;", "•"),
+             ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&times;", "×"), ("&amp;", "&")]
+
+
+def _numeric_entities(c: Column) -> Column:
+    """Decimal and hexadecimal character references; those of no character stay as they are."""
+    def one(part: Column) -> Column:
+        digits, hexed = F.regexp_extract(part, r"^(\d{1,7});", 1), F.regexp_extract(part, r"^[xX]([0-9a-fA-F]{1,6});", 1)
+        code = F.coalesce(digits.try_cast("bigint"), F.conv(blank_to_null(hexed), 16, 10).try_cast("bigint"))
+        good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(good, F.concat(char, F.regexp_replace(part, r"^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), part))
+
+    def joined(parts: Column) -> Column:
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
+
+    return F.when(F.contains(c, F.lit("&#")), let(F.split(c, "&#"), joined)).otherwise(c)
 
 
 def unescape(c: Column | str) -> Column:
-    out = as_col(c)
-    for entity, char in _ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """Character references decoded once: numeric ones and the common named ones. Text without any is left alone."""
+    named = constant([{"entity": e, "char": x} for e, x in _ENTITIES], "array<struct<entity:string,char:string>>")
+
+    def decoded(t: Column) -> Column:
+        return F.aggregate(named, _numeric_entities(t), lambda acc, e: F.replace(acc, e["entity"], e["char"]))
+
+    return let(as_col(c), lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
 
 
 def inner_text(c: Column | str) -> Column:
@@ -192,9 +213,9 @@ def signature(district: Column, kind: Column, area: Column, price: Column) -> Co
 
 
 def post_id(link: Column, text: Column) -> Column:
-    """Id in a post's link, else a hash of the head of its text."""
+    """Id in a post's link, else a hash of its whole text."""
     found = F.coalesce(group(link, r"(?:posts|permalink)/(\d+)"), group(link, r"story_fbid=(\d+)"))
-    return F.coalesce(found, F.concat(F.lit("hash_"), F.lower(F.hex(F.xxhash64(F.substring(text, 1, 100))))))
+    return F.coalesce(found, F.concat(F.lit("hash_"), F.sha2(text, 256)))
 
 
 def geocode_query(address: Column | str, city: Column | str) -> Column:
@@ -206,8 +227,7 @@ def geocode_query(address: Column | str, city: Column | str) -> Column:
         & ~a.rlike(r"document\.createElement|cdn-cgi|challenge-platform")
         & a.rlike("[А-Яа-я]")
     )
-    head = F.when(F.length(a) > 150, F.substring_index(a, ".", 1)).otherwise(a)
-    head = strip(F.regexp_replace(head, r"(?U)\s+", " "))
+    head = strip(F.regexp_replace(a, r"(?U)\s+", " "))
     town = strip(F.regexp_replace(as_col(city), r"(?U)^(гр\.|с\.)\s*", ""))
     return F.when(usable, F.concat_ws(", ", head, town, F.lit("България")))
 

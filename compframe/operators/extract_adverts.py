@@ -12,8 +12,6 @@ from compframe.functions.core import blank_to_null, group, let, round_exact, rou
 from compframe.operators import filters, markup as H
 from compframe.operators.ranking import keep_first, top_per_group
 
-LINK_CAP = 30      # links followed per index page
-CARD_CAP = 60      # cards read per page
 MARKET = ["city", "neighborhood", "size_sqm", "price_eur", "price_per_sqm", "rooms", "source", "scraped_at"]
 
 # Forms of the advert pages.
@@ -48,7 +46,6 @@ AGENCY = {
     "eur": r"(\d[\d\s\.,]*)\s*€", "bgn": r"(\d[\d\s\.,]*)\s*лв", "area": r"(\d+[\.,]?\d*)\s*кв\.?м",
     "floor": r"(\d+\s*-?\s*ти\s*ет\.?[^,\.]*)", "year": r"(19\d{2}|20\d{2})\s*г",
 }
-WINDOW_BEFORE, WINDOW_AFTER = 220, 1400
 EUR_OUTLIER = 2000000
 
 
@@ -66,8 +63,8 @@ def _market_row(pages: DataFrame, source: str, **fields: Column) -> DataFrame:
 
 # ---------------------------------------------------------------- agency portal
 
-def extract_index_links(pages: DataFrame, cap: int = LINK_CAP) -> DataFrame:
-    """Links to flats for sale: absolute, without fragment, first ``cap`` distinct in page order."""
+def extract_index_links(pages: DataFrame, cap: int | None = None) -> DataFrame:
+    """Links to flats for sale: absolute, without fragment, distinct, in page order; only the first ``cap`` if it is given."""
     def wanted(a: Column) -> Column:
         return F.contains(a, F.lit("obiava")) & F.contains(a, F.lit("prodava")) & F.contains(a, F.lit("apartament"))
 
@@ -77,7 +74,8 @@ def extract_index_links(pages: DataFrame, cap: int = LINK_CAP) -> DataFrame:
         return F.substring_index(full, "#", 1)
 
     hrefs = H.all_matches(F.col("html"), r'(?is)<a\b[^>]*?href="([^"]*)"')
-    links = F.slice(H.in_order_distinct(F.transform(F.filter(hrefs, wanted), absolute)), 1, cap)
+    links = H.in_order_distinct(F.transform(F.filter(hrefs, wanted), absolute))
+    links = links if cap is None else F.slice(links, 1, cap)
     return pages.select("page_id", "city", F.posexplode(links).alias("place", "url"))
 
 
@@ -159,23 +157,23 @@ def _total_price(rows: DataFrame, price: Column, size: Column) -> DataFrame:
     return out.where(filters.ingest_price_ok(F.col("price_eur"), F.col("size_sqm")))
 
 
-def extract_param_cards(pages: DataFrame, cap: int = CARD_CAP) -> DataFrame:
-    """Cards with labelled parameters; the first ``cap`` that parse per page."""
+def extract_param_cards(pages: DataFrame, cap: int | None = None) -> DataFrame:
+    """Cards with labelled parameters; if ``cap`` is given, the first ``cap`` that parse per page."""
     rows = _first_cards(pages, PARAM_OPENING).withColumn("t", H.flat_text(F.col("card")))
     t = F.col("t")
     rows = _total_price(rows, F.coalesce(*[group(t, p) for p in PARAM_PRICES]),
                         F.coalesce(*[group(t, p) for p in PARAM_SIZES]))
-    rows = top_per_group(rows, ["page_id"], [F.col("place").asc()], cap)
+    rows = rows if cap is None else top_per_group(rows, ["page_id"], [F.col("place").asc()], cap)
     return _market_row(rows, L.PARAM_PORTAL, size_sqm=F.col("size_sqm"), price_eur=round_exact(F.col("price_eur"), 2),
                        price_per_sqm=P.price_per_sqm("price_eur", "size_sqm"), rooms=P.rooms_by_word(t))
 
 
-def extract_rendered_cards(pages: DataFrame, cap: int = CARD_CAP) -> DataFrame:
-    """Cards of a rendered list page; only the first ``cap`` cards are looked at."""
-    rows = _first_cards(pages, RENDERED_OPENING).where(F.col("place") < cap).withColumn(
-        "t", T.unescape(F.regexp_replace(F.col("card"), r"<[^>]+>", "\n")))
+def extract_rendered_cards(pages: DataFrame, cap: int | None = None) -> DataFrame:
+    """Cards of a rendered list page; if ``cap`` is given, the first ``cap`` that parse per page."""
+    rows = _first_cards(pages, RENDERED_OPENING).withColumn("t", T.unescape(F.regexp_replace(F.col("card"), r"<[^>]+>", "\n")))
     t = F.col("t")
     rows = _total_price(rows, group(t, RENDERED["price"]), group(t, RENDERED["size"]))
+    rows = rows if cap is None else top_per_group(rows, ["page_id"], [F.col("place").asc()], cap)
     return _market_row(rows, L.CARD_PORTAL, neighborhood=strip(group(t, RENDERED["hood"])), size_sqm=F.col("size_sqm"),
                        price_eur=round_exact(F.col("price_eur"), 2),
                        price_per_sqm=P.price_per_sqm("price_eur", "size_sqm"), rooms=P.rooms_by_digit_or_word(t))
@@ -204,7 +202,7 @@ def extract_offer_anchors(pages: DataFrame) -> DataFrame:
 
 
 def extract_table_rows(pages: DataFrame) -> DataFrame:
-    """Adverts laid out as table rows; the first of each link or text is kept per page."""
+    """Adverts laid out as table rows; the first of each link, or of each whole text without one, is kept per page."""
     trs = pages.select("page_id", F.posexplode(H.all_matches(F.col("html"), r"(?is)(<tr\b.*?</tr>)")).alias("place", "tr"))
     rows = trs.withColumn("t", strip(F.regexp_replace(T.unescape(F.regexp_replace("tr", r"<[^>]+>", " ")), r"(?U)\s+", " ")))
     t = F.col("t")
@@ -216,31 +214,27 @@ def extract_table_rows(pages: DataFrame) -> DataFrame:
         F.when(currency == "EUR", amount).otherwise(round_half_up(amount / RATE_OFFICIAL)).alias("price_eur"),
         group(t, ROW["area"], flags="iU").try_cast("int").alias("area_sqm"), group(t, ROW["rooms"], flags="iU").alias("rooms"),
         F.coalesce(*[strip(group(t, p, flags="iU")) for p in ROW["hood"]]).alias("neighborhood"),
-        url.alias("url"), F.coalesce(url, F.left(t, F.lit(100))).alias("_key"))
+        url.alias("url"), F.coalesce(url, t).alias("_key"))
     return keep_first(out, ["page_id", "_key"], [F.col("place").asc()]).drop("place", "_key")
 
 
 def extract_agency_listings(pages: DataFrame) -> DataFrame:
-    """Sale listings of agency pages: slug fields, and numbers from the text round the link.
+    """Sale listings of agency pages: slug fields, and numbers from the listing's own text.
 
-    ``pages`` carries ``agency``, the subdomain the page belongs to.
+    A listing's text runs from a link to it up to the next link to another one; a page that
+    links it several times adds the pieces up. ``pages`` carries ``agency``, the subdomain the page belongs to.
     """
-    parts = F.split(F.col("html"), f"(?={AGENCY['url']})")
-    cut = pages.select("page_id", "agency", "html", parts.alias("parts"))
-    found = cut.select("page_id", "agency", "html", F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.struct(
-        F.regexp_extract(F.get("parts", i), AGENCY["rest"], 1).alias("url"),
-        F.aggregate(F.slice("parts", 1, i), F.lit(0), lambda n, p: n + F.length(p)).alias("start"))).alias("hits"))
+    parts = pages.select("page_id", "agency", F.posexplode(F.split(F.col("html"), f"(?={AGENCY['url']})")).alias("i", "part"))
+    each = parts.withColumn("url", F.regexp_extract("part", AGENCY["rest"], 1))
     prefix = F.concat(F.lit("https://"), "agency", F.lit(f".{L.AGENCY_PORTAL}/obiava-"))
-    sale = F.filter("hits", lambda h: F.startswith(h["url"], prefix) & F.contains(h["url"], F.lit("-prodava-")) & (
-        F.contains(h["url"], F.lit("-grad-sofiya")) | F.contains(h["url"], F.lit("-oblast-sofiya"))))
-    urls = F.transform("sale", lambda h: h["url"])
-    once = F.filter("sale", lambda h, i: F.array_position(urls, h["url"]) == i + 1)
-    each = found.withColumn("sale", sale).select("page_id", "agency", "html", F.explode(once).alias("h"))
-    begin = F.greatest(F.col("h.start") - WINDOW_BEFORE, F.lit(0))
-    window = F.substr(F.col("html"), begin + 1, F.col("h.start") + WINDOW_AFTER - begin)
-    text = strip(F.regexp_replace(F.regexp_replace(window, r"<[^>]+>", " "), r"(?U)\s+", " "))
+    sale = F.startswith("url", prefix) & F.contains("url", F.lit("-prodava-")) & (
+        F.contains("url", F.lit("-grad-sofiya")) | F.contains("url", F.lit("-oblast-sofiya")))
+    own = each.where(sale).groupBy("page_id", "agency", "url").agg(F.array_sort(F.collect_list(F.struct("i", "part"))).alias("own"))
+    whole = F.array_join(F.transform("own", lambda x: x["part"]), " ")
+    text = strip(F.regexp_replace(F.regexp_replace(whole, r"<[^>]+>", " "), r"(?U)\s+", " "))
+    each = own.select("page_id", "agency", F.struct("url").alias("h"), text.alias("t"))
     slug = F.element_at(F.split(F.col("h.url"), "/obiava-"), -1)
-    rows = each.select("page_id", "agency", F.col("h.url").alias("listing_url"), slug.alias("slug"), text.alias("t"))
+    rows = each.select("page_id", "agency", F.col("h.url").alias("listing_url"), slug.alias("slug"), "t")
     s, t = F.col("slug"), F.col("t")
     eur, bgn = T.clean_number(group(t, AGENCY["eur"])), T.clean_number(group(t, AGENCY["bgn"]))
     out = rows.select(

@@ -66,7 +66,8 @@ def _floor(html: Column) -> Column:
     def accepted(text: Column) -> Column:
         return let(text.try_cast("int"), lambda n: F.when(n.between(0, MAX_FLOOR), n))
 
-    info = F.coalesce(group(html, INFO, flags="sU"), html)
+    # an empty first block is a block: the page is searched only where there is none
+    info = F.when(html.rlike(f"(?sU){INFO}"), F.regexp_extract(html, f"(?sU){INFO}", 1)).otherwise(html)
     in_blocks = F.filter(
         F.transform(H.all_matches(html, f"(?sU){INFO}"),
                     lambda b: accepted(group(b, FLOORS["info"], flags="iU"))), lambda n: n.isNotNull())
@@ -131,19 +132,20 @@ def extract_auction_cards(pages: DataFrame) -> DataFrame:
         F.concat(F.lit(L.AUCTION_URL), "id").alias("url"))
 
 
-def extract_auction_blocks(pages: DataFrame, context: int = 500) -> DataFrame:
-    """Auctions from running text: the text on both sides of every id."""
+def extract_auction_blocks(pages: DataFrame) -> DataFrame:
+    """Auctions from running text: what stands between an id and its neighbours.
+
+    The price is looked for right before the id first; all other fields after the id first,
+    so that what belongs to the id before does not count.
+    """
     text = H.flat_text(F.col("html"))
     cut = pages.select("page_id", F.split(text, r"/properties/\d+").alias("parts"),
                        H.all_matches(text, r"/properties/(\d+)").alias("ids"))
     each = cut.select("page_id", "parts", F.posexplode("ids").alias("i", "id"))
-    before = F.get(F.col("parts"), F.col("i"))
-    after = F.get(F.col("parts"), F.col("i") + 1)
-    near = F.concat(F.right(before, F.lit(context)), F.left(after, F.lit(context)))
-    rows = each.select("page_id", "id", before.alias("before"), near.alias("near"))
+    rows = each.select("page_id", "id", F.get("parts", F.col("i")).alias("before"), F.get("parts", F.col("i") + 1).alias("after"))
 
     def field(pattern: str, idx: int = 1) -> Column:
-        return strip(group(F.col("near"), pattern, idx, "iU"))
+        return F.coalesce(*[strip(group(F.col(side), pattern, idx, "iU")) for side in ("after", "before")])
 
     price = F.coalesce(group(F.col("before"), BLOCK["price"][0], flags="iU"), field(BLOCK["price"][1]))
     return rows.select(

@@ -49,23 +49,30 @@ def keyword_classes(c: Column) -> dict[str, Column]:
     return {name: contains_any(low, [w.lower() for w in words]) for name, words in L.POST_KEYWORDS.items()}
 
 
-def is_property_post(c: Column) -> Column:
+def is_property_post(c: Column, min_length: int = MIN_POST_LENGTH) -> Column:
     """Long enough, two classes or more, one of them transaction or type."""
     hit = keyword_classes(c)
     total = sum((h.cast("int") for h in hit.values()), F.lit(0))
-    return (F.length(c) >= MIN_POST_LENGTH) & (total >= 2) & (hit["transaction"] | hit["propertyType"])
+    return (F.length(c) >= min_length) & (total >= 2) & (hit["transaction"] | hit["propertyType"])
 
 
-def post_price(c: Column) -> Column:
-    """First plausible price as a struct (amount, currency)."""
+def post_price(c: Column, compat: bool = True) -> Column:
+    """First plausible price as a struct (amount, currency).
+
+    ``compat`` keeps two quirks of the published rule: a sign before the number gives no price, since
+    the sign is read as the number, and "лева" counts as euro, since only "лв" and "bgn" are leva.
+    """
     def option(pattern: str, idx: int, currency: str) -> Column:
         raw = F.regexp_replace(group(c, pattern, idx, "iU"), r"(?U)\s", "")
         raw = F.regexp_replace(raw, r"^([^,]*),", "$1")
         number = F.regexp_extract(raw, r"^(\d*\.?\d*)", 1).try_cast("double")
+        named = F.lit(currency)
+        if compat and currency == "BGN":
+            named = F.when(F.lower(group(c, pattern, 2, "iU")) == "лева", "EUR").otherwise(currency)
         return let(number, lambda n: F.when((n > 100) & (n < 10000000), F.struct(
-            n.alias("amount"), F.lit(currency).alias("currency"))))
+            n.alias("amount"), named.alias("currency"))))
 
-    return F.coalesce(*[option(*p) for p in POST_PRICES])
+    return F.coalesce(*[option(*p) for p in POST_PRICES if not (compat and p[1] == 2)])
 
 
 def post_location(c: Column) -> Column:

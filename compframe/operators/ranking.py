@@ -81,5 +81,6 @@ def cheapest(auctions: DataFrame, max_price: float, k: int = 20) -> DataFrame:
             .orderBy(F.col("price_eur").asc(), F.col("id").asc()).limit(k))
 
 
-def newest(posts: DataFrame, k: int = 500) -> DataFrame:
+def newest(posts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` newest posts; how many are wanted is for the caller to say."""
     return posts.orderBy(F.col("ts").desc(), F.col("id").asc()).limit(k)

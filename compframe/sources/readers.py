@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType
 
 from compframe import schemas
 from compframe.operators import filters
@@ -13,23 +11,30 @@ from compframe.operators import filters
 AGENCY_CHARSETS = ("cp1251", "utf-8", "latin1")
 
 
+def _single_byte(content: Column, charset: str) -> Column:
+    """Bytes of a one-byte code page: read as the first 256 characters, then the upper half exchanged."""
+    upper = bytes(range(128, 256))
+    return F.translate(F.decode(content, "ISO-8859-1"), upper.decode("latin1"), upper.decode(charset, errors="replace"))
+
+
 def decode_text(content: Column, charsets: tuple[str, ...] = ("utf-8",)) -> Column:
-    """Bytes to text by the first code page that accepts them."""
+    """Bytes to text by the first code page that accepts them; the last one takes what is left."""
     if charsets == ("utf-8",):
         return F.decode(content, "UTF-8")
 
-    @F.pandas_udf(StringType())
-    def convert(raw: pd.Series) -> pd.Series:
-        def one(b):
-            for name in charsets:
-                try:
-                    return bytes(b).decode(name)
-                except UnicodeDecodeError:
-                    continue
-            return bytes(b).decode(charsets[-1], errors="ignore")
-        return raw.map(one, na_action="ignore")
-
-    return convert(content)
+    def taken(name: str) -> Column:
+        if name == "utf-8":
+            return F.is_valid_utf8(content.cast("string"))
+        free = [b for b in range(128, 256) if bytes([b]).decode(name, errors="ignore") == ""]
+        return ~F.exists(F.array(*[F.lit(bytes([b])) for b in free]), lambda b: F.contains(content, b)) if free else F.lit(True)
+
+    def text(name: str) -> Column:
+        return F.make_valid_utf8(content.cast("string")) if name == "utf-8" else _single_byte(content, name)
+
+    out = text(charsets[-1])
+    for name in reversed(charsets[:-1]):
+        out = F.when(taken(name), text(name)).otherwise(out)
+    return out
 
 
 def read_raw_pages(spark: SparkSession, path: str, charsets: tuple[str, ...] = ("utf-8",)) -> DataFrame:
