@@ -373,6 +373,15 @@ def post_ids(spark, sf):
     return posts(spark, sf).select("id", T.post_id(link, F.col("text")).alias("post_id"))
 
 
+@query("stored_posts", f"WITH {POSTS} SELECT CASE WHEN id % 2 = 0 THEN CAST(id AS VARCHAR) ELSE 'hash_' || sha256(text) END AS id, count(*) AS posts FROM posts WHERE {RELEVANT} GROUP BY 1")
+def stored_posts(spark, sf):
+    """The whole post job: classified, named, kept once; every post is delivered twice."""
+    rows = posts(spark, sf).withColumns({"link": F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://x/groups/1/posts/"), F.col("id").cast("string"))),
+                                         "ts": F.lit(S.NOW).cast("timestamp")}).drop("id")
+    out = W.stored_posts(rows.unionByName(rows))
+    return out.groupBy("id").agg(F.count("*").alias("posts"))
+
+
 # ---------------------------------------------------------------- given pages with many cards in them
 
 N_CARDS = "CAST(page_id % 131 AS INTEGER)"  # from none to many

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from compframe.catalog import standin as S
 from compframe.catalog.registry import query
 from compframe.operators import joins
-from compframe.session import shared_folder
+from compframe.session import new_path
 from compframe.sources import readers as R
 from compframe.sources import writers as W
 
@@ -18,7 +16,7 @@ DEALS = f"WITH {S.deals_sql()} SELECT {', '.join(COLS)} FROM deals"
 
 
 def folder(spark, name):
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return new_path(spark, name)
 
 
 @query("deals_lines", DEALS)
@@ -29,6 +27,22 @@ def deals_lines(spark, sf):
     return R.read_deals(spark, f"{path}/deals", form="lines").select(*COLS)
 
 
+@query("published_on_ok", f"WITH {S.deals_sql()} SELECT 'ok' AS verdict, count(*) AS deals FROM deals UNION ALL SELECT 'incomplete', 0")
+def published_on_ok(spark, sf):
+    """Published after a complete run, not after one with a town missing."""
+    from compframe.operators import quality as Q
+    got = S.market(spark, sf).groupBy("city", "source").agg(F.count("*").alias("n")).withColumn("success", F.col("n") >= 5)
+    grid = got.select("city", "source")  # what was delivered was expected
+    missing = grid.unionByName(grid.limit(1).withColumn("city", F.lit("Липсва")))
+    out = []
+    for name, expected in (("full", grid), ("short", missing)):
+        path = folder(spark, name)
+        said = W.publish_if_ok(S.deals(spark, sf), Q.run_verdict(expected, got), path, S.now())
+        deals = R.read_deals(spark, f"{path}/deals", form="lines") if said == "ok" else S.deals(spark, sf).where("false")
+        out.append(deals.agg(F.lit(said).alias("verdict"), F.count("*").alias("deals")))
+    return out[0].unionByName(out[1])
+
+
 @query("deals_document", f"WITH {S.deals_sql()} SELECT CAST(count(*) + 2 AS BIGINT) AS lines, count(*) FILTER (WHERE discount > 0) AS discounted FROM deals")
 def deals_document(spark, sf):
     """Lines of the envelope document, written and read back."""

@@ -89,9 +89,8 @@ def city_medians(spark, sf):
 @query("city_quartiles", f"{MARKET} SELECT city, round(median(price_eur), 6) AS median, quantile_disc(price_eur, 0.25) AS low, quantile_disc(price_eur, 0.75) AS high FROM market GROUP BY city")
 def city_quartiles(spark, sf):
     """Interpolated median and nearest-rank quartiles (A2, A3)."""
-    return S.market(spark, sf).groupBy("city").agg(
-        F.round(F.median("price_eur"), 6).alias("median"), G.nearest_rank("price_eur", 25).alias("low"),
-        G.nearest_rank("price_eur", 75).alias("high"))
+    out = G.quartiles(S.market(spark, sf).select("city", "price_eur"), ["city"], "price_eur", 1000.0)
+    return out.withColumn("median", F.round("median", 6))
 
 
 @query("active_by_type", f"{AUCTIONS} SELECT property_type, count(*) AS n FROM auctions WHERE NOT is_expired GROUP BY 1")
@@ -158,13 +157,15 @@ def run_log(spark, sf):
     return G.run_log(steps)
 
 
-@query("keep_latest", f"{MARKET}, m AS (SELECT * REPLACE (CASE WHEN rooms IS NULL THEN NULL ELSE price_eur END AS price_eur) FROM market) "
+@query("keep_latest", f"{MARKET}, m AS (SELECT * REPLACE (CASE WHEN rooms IS NULL THEN NULL ELSE floor(price_eur / 20000) * 20000 END AS price_eur, floor(size_sqm / 20) * 20 AS size_sqm) FROM market) "
        "SELECT city, size_sqm, price_eur, source, CAST(scraped_at AS VARCHAR) AS scraped_at, neighborhood, rooms FROM m WHERE price_eur IS NULL UNION ALL "
        "SELECT city, size_sqm, price_eur, source, CAST(scraped_at AS VARCHAR), neighborhood, rooms FROM (SELECT *, row_number() OVER (PARTITION BY city, size_sqm, price_eur, source "
        "ORDER BY scraped_at DESC, neighborhood NULLS FIRST, price_per_sqm NULLS FIRST, rooms NULLS FIRST) AS rn FROM m WHERE price_eur IS NOT NULL) WHERE rn = 1")
 def keep_latest(spark, sf):
     """Insert-or-replace by (city, size, price, source)."""
-    m = S.market(spark, sf).withColumn("price_eur", F.when(F.col("rooms").isNotNull(), F.col("price_eur")))
+    m = S.market(spark, sf).withColumns({  # coarse prices and sizes, so that keys repeat
+        "price_eur": F.when(F.col("rooms").isNotNull(), F.floor(F.col("price_eur") / 20000) * 20000).cast("double"),
+        "size_sqm": (F.floor(F.col("size_sqm") / 20) * 20).cast("double")})
     return R.keep_latest(m).select("city", "size_sqm", "price_eur", "source",
                                    F.date_format("scraped_at", "yyyy-MM-dd HH:mm:ss").alias("scraped_at"), "neighborhood", "rooms")
 
@@ -275,12 +276,12 @@ def upsert_first_seen(spark, sf):
 
 
 GRID = "grid AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{s}')" for c in L.MARKET_CITIES for s in L.DEAL_SOURCES) + ") AS g(city, source))"
-LEDGER = "ledger AS (SELECT city, source, max(scraped_at) AS completed_at, count(*) AS n FROM market WHERE size_sqm < 30 GROUP BY ALL)"
+LEDGER = "ledger AS (SELECT city, source, max(scraped_at) AS completed_at, count(*) AS n FROM market GROUP BY ALL)"
 
 
 def ledger(spark, sf):
     """One row per town and source, completed at its newest advert."""
-    return S.market(spark, sf).where("size_sqm < 30").groupBy("city", "source").agg(
+    return S.market(spark, sf).groupBy("city", "source").agg(
         F.max("scraped_at").alias("completed_at"), F.count("*").alias("n"))
 
 
@@ -296,21 +297,21 @@ def ledger_kept(spark, sf):
     return I.trim_ledger(ledger(spark, sf), late()).select("city", "source", "n")
 
 
-@query("grid_completeness", f"{MARKET}, {GRID}, got AS (SELECT city, source, count(*) AS n FROM market WHERE size_sqm < 12 AND rooms = 1 GROUP BY ALL) "
+@query("grid_completeness", f"{MARKET}, {GRID}, got AS (SELECT city, source, count(*) AS n FROM market GROUP BY ALL) "
        "SELECT g.city, g.source, coalesce(n, 0) AS n, coalesce(n, 0) >= 5 AS success, CASE WHEN coalesce(n, 0) >= 5 THEN '' "
        "ELSE 'Too few listings: ' || coalesce(n, 0) || ' < 5' END AS error FROM grid g LEFT JOIN got ON got.city = g.city AND got.source = g.source")
 def grid_completeness(spark, sf):
     """Rows per expected town and source."""
-    return Q.grid_completeness(Q.expected_grid(spark), S.market(spark, sf).where("size_sqm < 12 AND rooms = 1"))
+    return Q.grid_completeness(Q.expected_grid(spark), S.market(spark, sf))
 
 
-@query("run_verdict", f"{MARKET}, {GRID}, got AS (SELECT city, source, count(*) AS n, count(*) >= 5 AS success FROM market WHERE size_sqm < 12 AND rooms = 1 GROUP BY ALL), "
+@query("run_verdict", f"{MARKET}, {GRID}, got AS (SELECT city, source, count(*) AS n, count(*) >= 5 AS success FROM market GROUP BY ALL), "
        "j AS (SELECT g.*, n, success FROM grid g LEFT JOIN got ON got.city = g.city AND got.source = g.source) "
        "SELECT CASE WHEN bool_or(success IS NULL) THEN 'incomplete' WHEN bool_or(NOT success) THEN 'failed' ELSE 'ok' END AS verdict, "
        "coalesce(CAST(sum(n) FILTER (WHERE success) AS BIGINT), 0) AS listings FROM j")
 def run_verdict(spark, sf):
     """All-or-nothing verdict of a run."""
-    got = S.market(spark, sf).where("size_sqm < 12 AND rooms = 1").groupBy("city", "source").agg(F.count("*").alias("n"))
+    got = S.market(spark, sf).groupBy("city", "source").agg(F.count("*").alias("n"))
     return Q.run_verdict(Q.expected_grid(spark), got.withColumn("success", F.col("n") >= 5))
 
 
@@ -321,10 +322,7 @@ SUPPLEMENTS = ", ".join(f"('{c}', '{h}', '{s}')" for c, rows in L.SEARCH_SUPPLEM
        "(SELECT 1 FROM market m WHERE m.source = 'olx.bg' AND m.city = c.city AND lower(m.neighborhood) = lower(c.label))")
 def uncovered_supplements(spark, sf):
     """Search supplements that no discovered district covers."""
-    rows = [(c, h, s) for c, hs in L.SEARCH_SUPPLEMENTS.items() for h, s in hs]
-    wanted = spark.createDataFrame(rows, "city string, label string, slug string").withColumn("k", F.lower("label"))
-    found = S.market(spark, sf).where(F.col("source") == L.CARD_PORTAL).select("city", F.lower("neighborhood").alias("k")).distinct()
-    return wanted.join(found, ["city", "k"], "left_anti").drop("k")
+    return I.uncovered_supplements(S.market(spark, sf))
 
 
 @query("new_orders", "SELECT o_orderkey AS id, o_totalprice AS price_eur FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from compframe.catalog import standin as S
 from compframe.catalog.registry import query
 from compframe.operators.bursts import burst_filter
-from compframe.session import shared_folder
+from compframe.session import new_path
 from compframe.streaming import flows as X
 
 LIMIT, WINDOW_S = 3, 6 * 3600
@@ -21,7 +19,7 @@ def event_stream(spark, sf):
 
 
 def folder(spark, name):
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return new_path(spark, name)
 
 
 def requests(df):
@@ -54,13 +52,23 @@ def stream_burst(spark, sf):
 
 @query("stream_dedupe", "SELECT DISTINCT event_id % 4000 AS id FROM events")
 def stream_dedupe(spark, sf):
-    """Each id once."""
+    """Each id once."""
     out = folder(spark, "dedupe")
     posts = event_stream(spark, sf).select((F.col("event_id") % 4000).alias("id"), "ts")
     X.run_to_end(X.dedupe_posts(posts, within="60 days"), f"{out}/state", f"{out}/rows")
     return spark.read.parquet(f"{out}/rows").select("id")
 
 
+@query("stream_once", "SELECT min(event_id) AS event_id, count(*) AS n FROM (SELECT DISTINCT event_id FROM events) GROUP BY event_id % 1000")
+def stream_once(spark, sf):
+    """Every event once although each is delivered twice."""
+    out = folder(spark, "once")
+    rows = event_stream(spark, sf).select("event_id", "ts")
+    twice = rows.unionByName(rows)
+    X.run_to_end(X.once_per_event(twice, within="60 days"), f"{out}/state", f"{out}/rows")
+    return spark.read.parquet(f"{out}/rows").groupBy(F.col("event_id") % 1000).agg(F.min("event_id").alias("event_id"), F.count("*").alias("n")).select("event_id", "n")
+
+
 @query("stream_upsert", "SELECT user_id AS id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_seen, "
        "arg_max(event_type, ts) AS event_type, true AS is_active FROM events GROUP BY user_id")
 def stream_upsert(spark, sf):

@@ -33,11 +33,40 @@ def upper_median(rows: DataFrame, keys: list[str], value: str, step: float) -> D
         *keys, F.col("total").alias("n"), F.col(value).alias("median"))
 
 
+def at_ranks(rows: DataFrame, keys: list[str], value: str, step: float, ranks: dict[str, Column]) -> DataFrame:
+    """Per key the sorted values at some ranks (from 0), each a column of its name.
+
+    ``ranks`` are expressions of ``total``, the number of values of the key. Steps first, then the
+    values of the steps that hold a rank: no key's values are ever in one task as a group.
+    """
+    known = rows.where(F.col(value).isNotNull()).withColumn("_step", F.floor(F.col(value) / F.lit(step)))
+    steps = known.groupBy(*keys, "_step").agg(F.count("*").alias("n"))
+    sizes = steps.groupBy(*keys).agg(F.sum("n").alias("total"))
+    wanted = sizes.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()])).alias("w")).select(*keys, "w.*")
+    held = _holder(steps.join(wanted, keys), [*keys, "name"], "_step")
+    inside = known.join(held, [*keys, "_step"]).groupBy(*keys, "name", value, "rank").agg(F.count("*").alias("n"))
+    found = _holder(inside, [*keys, "name"], value)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in ranks])
+
+
 def nearest_rank(values: str, pct: float) -> Column:
-    """Nearest-rank percentile."""
+    """Nearest-rank percentile of a group that is small by nature, such as a top-k list."""
     return F.expr(f"percentile_disc({pct / 100}) WITHIN GROUP (ORDER BY {values})")
 
 
+def rank_of(pct: float) -> Column:
+    """Rank (from 0) of the nearest-rank percentile among ``total`` values."""
+    return F.greatest(F.ceil(F.col("total") * F.lit(pct) / 100), F.lit(1)) - 1
+
+
+def quartiles(rows: DataFrame, keys: list[str], value: str, step: float) -> DataFrame:
+    """Interpolated median, and nearest-rank quartiles, as (keys, median, low, high)."""
+    half = F.col("total") / 2
+    out = at_ranks(rows, keys, value, step, {"below": F.ceil(half) - 1, "above": F.floor(half), "low": rank_of(25), "high": rank_of(75)})
+    return out.select(*keys, ((F.col("below") + F.col("above")) / 2).alias("median"), "low", "high")
+
+
 def price_stats_by(market: DataFrame, key: str) -> DataFrame:
     """Rows and rounded mean price per m2, by source or by city."""
     return market.where(F.col("price_per_sqm").isNotNull()).groupBy(key).agg(

@@ -205,12 +205,14 @@ def window_medians(windows: DataFrame, pairs: DataFrame, cells: DataFrame, marke
         F.struct(F.col("hood").alias("m_hood"), sized.alias("bucket")),
         F.struct(F.col("hood").alias("m_hood"), every.alias("bucket")),
     )
+    # counted first: what is spread over the scopes are cells of equal rows, not rows
+    exact = market.groupBy("city", "hood", "size", "step", "pps").agg(F.count("*").alias("n"))
     prices = (
-        market.select("city", "size", "step", "pps", F.explode(scopes).alias("scope"))
-        .select("city", "scope.*", "step", "pps",
+        exact.select("city", "size", "step", "pps", "n", F.explode(scopes).alias("scope"))
+        .select("city", "scope.*", "step", "pps", "n",
                 F.when(F.col("scope.bucket") != ALL_SIZES, F.col("size")).alias("size"))
         .join(touched, ["city", "m_hood", "bucket", "step"], "left_semi")
-        .groupBy("city", "m_hood", "bucket", "step", "size", "pps").agg(F.count("*").alias("n"))
+        .groupBy("city", "m_hood", "bucket", "step", "size", "pps").agg(F.sum("n").alias("n"))
     )
     by_price = (
         targets.join(prices, ["city", "m_hood", "bucket", "step"]).where(_inside())

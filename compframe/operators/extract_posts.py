@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from compframe import lookups as L
-
+from compframe.functions import text as T
 from compframe.functions.core import contains_any, first_listed, group, let, string_array
+from compframe.operators.ranking import keep_first, newest
 
 MIN_POST_LENGTH = 50
 # Number forms in posts.
@@ -109,9 +110,19 @@ def post_size(c: Column) -> Column:
 def classify_posts(posts: DataFrame) -> DataFrame:
     """Property posts with their fields; other posts are left out.
 
-    The generator reads each text once and gives no row for a post that is not relevant.
+    The test comes first and the fields are plain columns, so that a reader of some of them pays for those only.
+    """
+    t = F.col("text")
+    return posts.where(is_property_post(t)).withColumns({
+        "price": post_price(t), "location": post_location(t), "property_type": post_type(t),
+        "transaction_type": post_transaction(t), "contact": post_phones(t), "size": post_size(t)})
+
+
+def stored_posts(posts: DataFrame, k: int | None = None) -> DataFrame:
+    """The whole job: classify, name by link or text, keep the newest of each id, newest first.
+
+    ``posts`` has link, text and ts. All are kept unless ``k`` says how many.
     """
-    fields = let(F.col("text"), lambda t: F.when(is_property_post(t), F.array(F.struct(
-        post_price(t).alias("price"), post_location(t).alias("location"), post_type(t).alias("property_type"),
-        post_transaction(t).alias("transaction_type"), post_phones(t).alias("contact"), post_size(t).alias("size")))))
-    return posts.select("*", F.explode(fields).alias("post")).select(*posts.columns, "post.*")
+    named = classify_posts(posts).withColumn("id", T.post_id(F.col("link"), F.col("text")))
+    once = keep_first(named, ["id"], [F.col("ts").desc(), F.col("text").asc()])
+    return once.orderBy(F.col("ts").desc(), F.col("id").asc()) if k is None else newest(once, k)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from compframe import lookups as L
 from compframe.config import LEDGER_KEEP_DAYS, RETENTION_DAYS
 from compframe.functions import time as D
 
@@ -114,3 +115,11 @@ def copy_missing(src: DataFrame, dst: DataFrame, key: str = "email") -> tuple[Da
     counts = tally.agg(F.sum("migrated").alias("migrated"),
                        (F.sum("total") - F.sum("migrated")).alias("skipped"))
     return fresh, counts
+
+
+def uncovered_supplements(market: DataFrame, source: str = L.CARD_PORTAL) -> DataFrame:
+    """Listed extra searches (city, label, slug) whose district the source has not delivered."""
+    rows = [(c, h, s) for c, hs in L.SEARCH_SUPPLEMENTS.items() for h, s in hs]
+    wanted = market.sparkSession.createDataFrame(rows, "city string, label string, slug string").withColumn("k", F.lower("label"))
+    found = market.where(F.col("source") == source).select("city", F.lower("neighborhood").alias("k")).distinct()
+    return wanted.join(found, ["city", "k"], "left_anti").drop("k")
