@@ -14,7 +14,7 @@ class ValuationConfig:
     pps_low: float = 200.0           # exclusive
     pps_high: float = 5000.0         # exclusive
     similarity: float = 0.7
-    size_bucket: float = 10.0        # width of the range-join bucket, m2
+    size_bucket: float = 2.5         # width of the range-join bucket, m2
     pps_bucket: float = 50.0         # width of the first selection level, EUR/m2
 
 

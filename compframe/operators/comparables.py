@@ -8,10 +8,12 @@ result depends on:
   size interval;
 * market rows become counted *cells* (town, district, size, price step).
 
-Counts of all six passes come from the cells. The upper median of the chosen window is
-found by selection in two levels: the price step that holds the wanted rank, then the
-exact price inside that step. The market is read twice and shuffled only after
-aggregation, so a town with a third of all rows is a small set of cells by then.
+Counts of all six passes come from the cells. A window takes whole size buckets as they are
+summed and looks at single sizes only in the two buckets of its ends, which hold as many sizes as
+a square metre has distinguishable ones. The upper median of the chosen window is found by selection in
+two levels: the price step that holds the wanted rank, then the exact price inside that step. Market rows
+are counted into cells before they are shuffled or spread over scopes, so a town with a third of
+all rows is a set of cells by then.
 """
 
 from __future__ import annotations
@@ -143,24 +145,32 @@ def _pass_windows(cfg: ValuationConfig) -> Column:
 def _spread(windows: DataFrame, pairs: DataFrame, cfg: ValuationConfig) -> DataFrame:
     """Windows with the market districts and size buckets they cover."""
     unbounded = F.col("hi") == F.lit(float("inf"))
-    buckets = F.when(unbounded, F.array(F.lit(ALL_SIZES).cast("bigint"))).otherwise(F.sequence(
-        _bucket(F.when(~unbounded, F.col("lo")).otherwise(0.0), cfg.size_bucket),
-        _bucket(F.when(~unbounded, F.col("hi")).otherwise(0.0), cfg.size_bucket)))
+    first = _bucket(F.when(~unbounded, F.col("lo")).otherwise(0.0), cfg.size_bucket)
+    last = _bucket(F.when(~unbounded, F.col("hi")).otherwise(0.0), cfg.size_bucket)
+    every = F.array(F.struct(F.lit(ALL_SIZES).cast("bigint").alias("bucket"), F.lit(False).alias("edge")))
+    buckets = F.when(unbounded, every).otherwise(F.transform(
+        F.sequence(first, last), lambda b: F.struct(b.alias("bucket"), ((b == first) | (b == last)).alias("edge"))))
     town = windows.where(F.col("hood") == WHOLE_TOWN).withColumn("m_hood", F.lit(WHOLE_TOWN))
     hood = windows.where(F.col("hood") != WHOLE_TOWN).join(pairs, ["city", "hood"])
-    return town.unionByName(hood).withColumn("bucket", F.explode(buckets))
+    return town.unionByName(hood).withColumn("_b", F.explode(buckets)).select("*", "_b.*").drop("_b")
 
 
 def _inside() -> Column:
-    return (F.col("bucket") == ALL_SIZES) | F.col("size").between(F.col("lo"), F.col("hi"))
+    return ~F.col("edge") | F.col("size").between(F.col("lo"), F.col("hi"))
+
+
+def _with_totals(sizes: DataFrame, keys: list[str], *sums: Column) -> DataFrame:
+    """Sizes for the buckets of a window's ends, and whole buckets for those between."""
+    own = sizes.groupBy(*keys, "size").agg(*sums).withColumn("edge", F.lit(True))
+    return own.unionByName(sizes.groupBy(*keys).agg(*sums).withColumns({"size": F.lit(None).cast("double"), "edge": F.lit(False)}))
 
 
 def window_counts(windows: DataFrame, pairs: DataFrame, cells: DataFrame, cfg: ValuationConfig) -> DataFrame:
     """Rows, lowest and highest price of every window."""
-    sizes = cells.groupBy("city", F.col("hood").alias("m_hood"), "bucket", "size").agg(
-        F.sum("n").alias("n"), F.min("pps_min").alias("pps_min"), F.max("pps_max").alias("pps_max"))
+    sizes = _with_totals(cells.withColumnRenamed("hood", "m_hood"), ["city", "m_hood", "bucket"],
+                         F.sum("n").alias("n"), F.min("pps_min").alias("pps_min"), F.max("pps_max").alias("pps_max"))
     return (
-        _spread(windows, pairs, cfg).join(sizes, ["city", "m_hood", "bucket"]).where(_inside())
+        _spread(windows, pairs, cfg).join(sizes, ["city", "m_hood", "bucket", "edge"]).where(_inside())
         .groupBy(*WINDOW)
         .agg(F.sum("n").alias("n"), F.min("pps_min").alias("pps_min"), F.max("pps_max").alias("pps_max"))
     )
@@ -189,9 +199,9 @@ def window_medians(windows: DataFrame, pairs: DataFrame, cells: DataFrame, marke
     ``windows`` has an id ``wid``, the window columns and the row count ``n``.
     """
     wanted = _spread(windows.withColumn("rank", F.floor(F.col("n") / 2)).drop("n"), pairs, cfg)
-    steps = cells.select("city", F.col("hood").alias("m_hood"), "bucket", "size", "step", "n")
+    steps = _with_totals(cells.withColumnRenamed("hood", "m_hood"), ["city", "m_hood", "bucket", "step"], F.sum("n").alias("n"))
     by_step = (
-        wanted.join(steps, ["city", "m_hood", "bucket"]).where(_inside())
+        wanted.join(steps, ["city", "m_hood", "bucket", "edge"]).where(_inside())
         .groupBy("wid", "step").agg(F.sum("n").alias("n"), F.first("rank").alias("rank"))
     )
     held = staged(_rank_holder(by_step, "step"), "ladder-steps")
@@ -200,11 +210,12 @@ def window_medians(windows: DataFrame, pairs: DataFrame, cells: DataFrame, marke
 
     width, every = cfg.size_bucket, F.lit(ALL_SIZES).cast("bigint")
     sized = _bucket(F.col("size"), width)
-    scopes = F.array(
+    named = F.col("hood") != WHOLE_TOWN  # a blank district is no district; its rows count for the town once
+    scopes = F.array_compact(F.array(
         F.struct(F.lit(WHOLE_TOWN).alias("m_hood"), sized.alias("bucket")),
-        F.struct(F.col("hood").alias("m_hood"), sized.alias("bucket")),
-        F.struct(F.col("hood").alias("m_hood"), every.alias("bucket")),
-    )
+        F.when(named, F.struct(F.col("hood").alias("m_hood"), sized.alias("bucket"))),
+        F.when(named, F.struct(F.col("hood").alias("m_hood"), every.alias("bucket"))),
+    ))
     # counted first: what is spread over the scopes are cells of equal rows, not rows
     exact = market.groupBy("city", "hood", "size", "step", "pps").agg(F.count("*").alias("n"))
     prices = (

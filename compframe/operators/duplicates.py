@@ -188,6 +188,7 @@ def duplicate_profiles(listings: DataFrame, cfg: DuplicateConfig = DuplicateConf
     one = rows.select("pid", F.struct(*[c for c in rows.columns if c != "pid"]).alias("x"))
     pairs = candidate_pairs(rows, districts, kinds, cfg).unionByName(
         rows.where("other_first_id IS NOT NULL").select(F.col("pid").alias("pid_a"), F.col("pid").alias("pid_b")))
+    pairs = staged(pairs, "profile-pairs")  # the blocks are joined once
     sided = (pairs.join(one.select(F.col("pid").alias("pid_a"), F.col("x").alias("a")), "pid_a")
              .join(one.select(F.col("pid").alias("pid_b"), F.col("x").alias("b")), "pid_b"))
     possible = sided.where(_paired(F.col("a"), F.col("b")))

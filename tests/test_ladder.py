@@ -65,6 +65,19 @@ def test_ladder_equals_six_queries(spark):
     assert {w[0] for w in want.values()} >= {1, 2, 5, 6}
 
 
+def test_ladder_with_distinct_sizes_in_one_town(spark):
+    rnd = random.Random(8)
+    rows = [("A", rnd.choice(HOODS), rnd.uniform(15, 120), rnd.uniform(150, 5200)) for _ in range(900)]
+    subj = [(i, "A", rnd.choice(HOODS), rnd.uniform(20, 110), rnd.choice(TYPES)) for i in range(60)]
+    names = [h for h in HOODS if h]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    similar = {(r.a, r.b): r.s for r in pairs.select("a", "b", T.hood_similarity("a", "b").alias("s")).collect()}
+    s = spark.createDataFrame(subj, "id int, city string, auction_hood string, size_sqm double, property_type string")
+    m = spark.createDataFrame(rows, "city string, neighborhood string, size_sqm double, price_per_sqm double")
+    got = {r.id: (r.match_pass, r.comparables_count, r.market_median, r.range_min, r.range_max) for r in value_subjects(s, m).collect()}
+    assert got == expected(subj, rows, similar)
+
+
 def test_similar_hoods_equal_all_pairs(spark):
     names = ["люлин", "лозенец", "център", "левски", "базар левски", "бояна", "витоша", "х", "изток", "източен", "люлин юг"]
     df = spark.createDataFrame([("A", n) for n in names], "city string, hood string")
