@@ -21,7 +21,7 @@ remains is sorted and read as a stream with one row of memory. Texts are shuffle
 for both the look-up and the cut.
 
 **Edge cases.** Null and empty texts have no words and an empty rest. Fewer than ``WINDOW`` words: all
-stay. A null id counts as larger than all others and comes back as null. Rows that share an id
+stay. A null id counts as larger than all others and comes back as null; so does the largest long, which stands for it. Rows that share an id
 are ordered by a hash of their text; equal rows get equal results. No rows: an empty result.
 Extra columns are ignored.
 """
@@ -239,14 +239,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(doc_id, id, tag, text): id without nulls, and 31 bits of a hash of the text."""
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("id"),
+    """(id, tag, text): id without nulls, and 31 bits of a hash of the text. Nothing else, so that both joins share one shuffle."""
+    return docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("id"),
                        F.shiftrightunsigned(F.xxhash64(F.col(text)), 33).alias("tag"), F.col(text).alias("text"))
 
 
 def removals(own: DataFrame) -> DataFrame:
     """(id, tag, factors): what to remove from each of the ``keyed`` documents, as arrays of word ranges (start, end)."""
-    blocks = staged(index_blocks(own.select("id", "tag", "text")), "blocks")
+    blocks = staged(index_blocks(own), "blocks")
     firsts = blocks.groupBy("sha").agg(F.min(F.struct("id", "tag")).alias("first"))
     firsts = staged(firsts.select("sha", "first.id", "first.tag"), "texts")
     # a text is its hash here: copies in other slices bring the same rows
@@ -259,7 +259,7 @@ def removals(own: DataFrame) -> DataFrame:
     copies = (blocks.where(F.col("n_words") >= WINDOW).select("id", "tag", "sha", "n_words").distinct()
               .join(firsts.select("sha", F.col("id").alias("i"), F.col("tag").alias("t")), "sha")
               .where("id != i OR tag != t").select("id", "tag", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
-    found = (claims(own.select("id", "tag", "text").join(wanted, ["id", "tag"]).select("id", "tag", "text", "keys"))
+    found = (claims(own.join(wanted, ["id", "tag"]).select("id", "tag", "text", "keys"))
              .repartition("h1", "h2").sortWithinPartitions("h1", "h2", "id", "place").mapInArrow(_earlier, "id long, tag long, start long, n long"))
     spans = found.select("id", "tag", "start", (F.col("start") + F.col("n") + WINDOW - 1).alias("end")).unionByName(copies)
     return spans.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("factors"))
@@ -268,5 +268,5 @@ def removals(own: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for every row: ``kept`` is what stays, words joined by one space."""
     own = keyed(docs, id, text)
-    out = own.join(removals(own), ["id", "tag"], "left").select("doc_id", "text", "factors")
+    out = own.join(removals(own), ["id", "tag"], "left").select(F.nullif("id", F.lit(LAST)).alias("doc_id"), "text", "factors")
     return out.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
