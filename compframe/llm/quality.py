@@ -154,10 +154,15 @@ def judged(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
                         repeated_words(w).alias("n_repeat_words"), score.alias("score"))
 
     weight = spark.createDataFrame([(table,)], "weights array<double>").scalar()  # one value of fixed size
-    found = docs.withColumn(TABLE, weight).withColumn(RULES, let(words_of(F.col(text)), rules)).drop(TABLE)
-    r = F.col(RULES)
-    failed = (r["n_words"] < MIN_WORDS) | (100 * r["n_repeat_words"] > MAX_REPEATED * r["n_words"])
-    return found.withColumn(RULES, r.withField("base_failed", failed).withField("kept", ~failed & (F.coalesce(r["score"], F.lit(0.0)) >= threshold)))
+
+    def verdict(r: Column) -> Column:
+        failed = (r["n_words"] < MIN_WORDS) | (100 * r["n_repeat_words"] > MAX_REPEATED * r["n_words"])
+        fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")
+        return F.struct(*[r[c].alias(c) for c in fields], failed.alias("base_failed"),
+                        (~failed & (F.coalesce(r["score"], F.lit(0.0)) >= threshold)).alias("kept"))
+
+    # one expression that binds its parts, so that a filter on the verdict computes them once
+    return docs.withColumn(TABLE, weight).withColumn(RULES, let(let(words_of(F.col(text)), rules), verdict)).drop(TABLE)
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
