@@ -20,6 +20,7 @@ HEADLINE = [
     "export_deals", "valuation_ladder", "town_size_median", "deal_score", "duplicate_profiles", "duplicate_clusters",
     "alert_match", "browse_page_best", "keep_latest", "incremental_merge", "fill_districts", "extract_auctions",
     "extract_cards", "post_classify", "market_by_city", "burst_admitted",
+    "comparables_topk", "rule_match", "city_quartiles", "similarity_pairs", "stream_dedupe",
 ]
 
 
