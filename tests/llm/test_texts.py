@@ -279,6 +279,19 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontam.clean(df, bench.limit(0)).count() == len(docs)
 
 
+@pytest.mark.parametrize("every", [2, 3])
+def test_an_item_copied_everywhere_is_found(spark, every):
+    rnd = random.Random(16)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    say = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    items = [(i, say(rnd.randrange(15, 60))) for i in range(20)]
+    docs = [(d, f"{say(rnd.randrange(60, 300))} {items[4][1] if d % every == 0 else ''} {say(rnd.randrange(60))}") for d in range(150)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for rows in (docs, docs[:6]):  # few documents, too
+        got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+        assert got == {(d, 4) for d, _ in rows if d % every == 0}
+
+
 # --- language model -------------------------------------------------------------------------------
 
 
