@@ -96,6 +96,21 @@ def test_line_dedup_finds_every_close_line(spark):
     assert {r.doc_id: r.text for r in lines.without_repeats(df).collect()} == {i: t for i, (_, _, t) in want.items()}
 
 
+def test_the_limit_of_edits_grows_with_the_line(spark):
+    rnd = random.Random(15)
+    base = ["".join(rnd.choice("abcdef ghij") for _ in range(n)) + "z" for n in (12, 15, 70, 130, 260, 500)]
+    near = lambda n: 1 if n < 20 else max(2, n // 20)
+    docs = [(i, "\n".join(edited(rnd, x, rnd.randrange(near(len(x)) + 2), "xyz") for x in base)) for i in range(12)]
+    seen = sorted({x for _, t in docs for _, x in lines.worded(t)})
+    want = {frozenset((a, b)) for i, a in enumerate(seen) for b in seen[:i]
+            if (n := min(len(a), len(b))) >= 10 and abs(len(a) - len(b)) <= near(n) and distance(a, b) <= near(n)}
+    assert {min(map(len, p)) // 50 for p in want} >= {0, 1, 2, 5}
+    names = {lines.line_id(x): x for x in seen}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [frozenset((names[r.u], names[r.v])) for r in lines.links(lines.with_place(df, "doc_id", "text")).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_line_dedup_edge_cases(spark, edge, nothing, rows):
     got = lines.without_repeats(edge)
     assert got.columns == edge.columns and got.count() == len(rows)
