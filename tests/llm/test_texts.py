@@ -292,6 +292,18 @@ def test_an_item_copied_everywhere_is_found(spark, every):
         assert got == {(d, 4) for d, _ in rows if d % every == 0}
 
 
+def test_clean_judges_each_row_by_itself(spark):
+    rnd = random.Random(26)
+    say = lambda n: " ".join(f"w{rnd.randrange(3000)}" for _ in range(n))
+    bench = spark.createDataFrame([(i, say(30)) for i in range(5)], "item_id long, text string")
+    item = bench.where("item_id = 2").first().text
+    leaky = [(None, f"{say(20)} {item} {say(9)}"), (7, f"{say(40)} {item}")]
+    good = [(None, say(60)), (None, say(50)), (None, None), (7, say(60)), (7, None), (8, say(60))]
+    df = spark.createDataFrame(leaky + good, "doc_id long, text string").selectExpr("*", "1 AS leaky_tag")
+    assert sorted((r.doc_id, r.text) for r in decontam.clean(df, bench).collect() if r.doc_id and r.text) == sorted(x for x in good if x[0] and x[1])
+    assert decontam.clean(df, bench).count() == len(good)
+
+
 # --- language model -------------------------------------------------------------------------------
 
 
