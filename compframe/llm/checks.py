@@ -28,3 +28,31 @@ summed AS (
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
 FROM documents d LEFT JOIN summed s USING (doc_id)
 """
+
+
+def _centroid_rounds(k: int = 16, rounds: int = 3) -> str:
+    """Assignments and centroids of every round, each a CTE of its own."""
+    far = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    out = [f"""kept AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS cluster, v AS c
+  FROM kept QUALIFY cluster < {k})"""]
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS (SELECT rid, vec_id, v, cluster, {far} AS distance FROM kept, c{r}
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, cluster) = 1)""")
+        if r < rounds:
+            out.append(f"""s{r} AS (SELECT cluster, j, sum(x) AS s, count(*) AS n
+  FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{r}) GROUP BY cluster, j),
+m{r} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c FROM s{r} GROUP BY cluster),
+c{r + 1} AS (SELECT cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (cluster))""")
+    return ",\n".join(out)
+
+
+CHECKS["op13_centroids"] = f"""
+WITH {_centroid_rounds()}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+  CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (cluster)
+"""

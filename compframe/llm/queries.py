@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from compframe.llm import bpe, counts, decontam, hmm, lines, quality, secrets, simhash, substrings, warc
+from compframe.llm import bpe, centroids, counts, decontam, hmm, lines, quality, secrets, simhash, substrings, warc
 from compframe.llm.checks import CHECKS
 from compframe.llm.common import table
 
@@ -57,5 +57,9 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scores(table(spark, sf_dir, "documents"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_warc, op4_bpe, op5_token_counts, op6_secrets, op7_decontamination, op8_substrings, op9_quality, op10_hmm)}
+    f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_warc, op4_bpe, op5_token_counts, op6_secrets, op7_decontamination, op8_substrings, op9_quality, op10_hmm, op13_centroids)}
