@@ -56,3 +56,70 @@ SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS
   sha256(array_to_string(c, ',')) AS centroid_sha256
 FROM a3 JOIN c3 USING (cluster)
 """
+
+
+def _least(*options: str) -> str:
+    return f"list_sort(list_filter([{', '.join(options)}], lambda o: o IS NOT NULL))[1]"
+
+
+def _with(x: str, cost: str, edit: str, line: str | None) -> str:
+    """A path of least cost, edits and repaired lines, with one more edit in front."""
+    lines = f"list_prepend({line}, {x}.t)" if line else f"{x}.t"
+    return f"{{'c': {cost} + {x}.c, 'a': '{edit}' || {x}.a, 't': {lines}}}"
+
+
+def _conversation_paths() -> str:
+    """Cheapest paths from every turn to the end, by state: nothing yet, after s, after u, after a."""
+    onward, names = (2, 2, 3, 2), ("user", "user", "assistant", "user")
+    kept = {0: "WHEN 's' THEN x1 WHEN 'u' THEN x2", 1: "WHEN 'u' THEN x2", 2: "WHEN 'a' THEN x3", 3: "WHEN 'u' THEN x2"}
+    base = []
+    for q in range(4):
+        to = f"CASE left(role, 1) {kept[q]} END"
+        base.append(_least(
+            _with(f"x{q}", "4", "D", None),
+            f"CASE WHEN fault NOT IN (1, 2) THEN {_with(f'x{onward[q]}', '3 + extra', 'R', chr(39) + names[q] + ':' + chr(39) + ' || text')} END",
+            f"CASE WHEN fault NOT IN (1, 2) AND {to} IS NOT NULL THEN {_with(f'({to})', 'extra', 'K', chr(39).join(('role || ', ':', ' || text')))} END")
+            + f" AS x{q}")
+    out = f"SELECT conv_id, i, {', '.join(base)} FROM (SELECT d.*, r.role, r.text, r.fault, CASE r.fault WHEN 3 THEN 3 ELSE 0 END AS extra FROM paths d JOIN judged r USING (conv_id, i))"
+    for _ in range(3):
+        more = [_least(f"x{q}", _with(f"x{onward[q]}", "3", "I", f"'{names[q]}:'")) + f" AS x{q}" for q in range(4)]
+        out = f"SELECT conv_id, i, {', '.join(more)} FROM ({out})"
+    return f"SELECT conv_id, i - 1, x0, x1, x2, x3 FROM ({out})"
+
+
+CHECKS["op11_conversations"] = rf"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM range(256) r(n)),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(
+      list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: CAST(ord(ch) AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM conversations, crc_table),
+harmed AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM keyed WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || chr(0) || text), copy) AS i FROM harmed),
+judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS fault,
+    left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair
+  FROM placed),
+sizes AS (
+  SELECT conv_id, count(judged.i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank,
+    count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN judged USING (conv_id) GROUP BY conv_id),
+paths AS (
+  SELECT conv_id, n AS i, {{'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])}} AS x0, {{'c': 6, 'a': 'II', 't': ['user:', 'assistant:']}} AS x1,
+    {{'c': 3, 'a': 'I', 't': ['assistant:']}} AS x2, {{'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])}} AS x3
+  FROM sizes
+  UNION ALL
+  {_conversation_paths()})
+SELECT conv_id, gaps, blank, duplicate, truncated, illegal, CAST(x0.c AS BIGINT) AS cost, x0.a AS audit,
+  sha256(array_to_string(x0.t, chr(10))) AS repaired_sha256
+FROM sizes JOIN paths USING (conv_id) WHERE i = 0
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from compframe.llm import bpe, centroids, counts, decontam, editwalk, hmm, lines, quality, secrets, simhash, substrings, warc
+from compframe.llm import bpe, centroids, counts, decontam, dialogue, editwalk, hmm, lines, quality, secrets, simhash, substrings, warc
 from compframe.llm.checks import CHECKS
 from compframe.llm.common import table
 
@@ -57,6 +57,10 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.report(table(spark, sf_dir, "conversations"))
+
+
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editwalk.successors(table(spark, sf_dir, "documents"))
 
@@ -66,4 +70,4 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_warc, op4_bpe, op5_token_counts, op6_secrets, op7_decontamination, op8_substrings, op9_quality, op10_hmm, op12_fingerprints, op13_centroids)}
+    f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_warc, op4_bpe, op5_token_counts, op6_secrets, op7_decontamination, op8_substrings, op9_quality, op10_hmm, op11_conversations, op12_fingerprints, op13_centroids)}
