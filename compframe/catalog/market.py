@@ -45,11 +45,9 @@ PAIRS = (f"WITH {C.TABLES}, " + C.norm_cte("norms", "SELECT neighborhood AS h FR
        f"(SELECT a.city, a.norm AS l_hood, b.norm AS r_hood, {C.similarity_case('a.norm', 'b.norm')} AS similarity FROM a JOIN b ON a.city = b.city) WHERE similarity >= 0.7")
 def similarity_pairs(spark, sf):
     """Similar districts of the same town."""
-    norm = T.normalize_hood("neighborhood").alias("hood")
-    a = S.auctions(spark, sf).select("neighborhood", T.clean_city("city").alias("city")).distinct().select("city", norm)
-    b = S.market(spark, sf).select("city", "neighborhood").distinct().select("city", norm)
-    known = F.col("hood").isNotNull()
-    return M.similar_hoods(a.where(known).distinct(), b.where(known).distinct())
+    a = S.auctions(spark, sf).select("neighborhood", T.clean_city("city").alias("city"))
+    b = S.market(spark, sf).select("city", "neighborhood")
+    return M.similar_hoods(*[M.normal_names(x, "neighborhood", "hood").select("city", "hood").distinct() for x in (a, b)])
 
 
 @query("hood_range", f"{PAIRS}, sub AS (SELECT DISTINCT trim(replace(x.city, 'гр. ', '')) AS city, n.norm AS hood FROM auctions x JOIN norms n ON n.h = x.neighborhood), "
@@ -59,11 +57,11 @@ def similarity_pairs(spark, sf):
 def hood_range(spark, sf):
     """Price range of similar districts."""
     cfg = M.ValuationConfig()
-    cells = M.staged(M.scoped_cells(M.sane_market(S.market(spark, sf), cfg), cfg), "range-cells")
-    subj = S.auctions(spark, sf).select(T.clean_city("city").alias("city"), "neighborhood").distinct()
-    keys = subj.select("city", F.coalesce(T.normalize_hood("neighborhood"), F.lit("")).alias("hood"))
-    ranges = cells.where(F.col("bucket") == M.ALL_SIZES).select("city", "hood", F.col("pps_min").alias("pps")).unionByName(
-        cells.where(F.col("bucket") == M.ALL_SIZES).select("city", "hood", F.col("pps_max").alias("pps")))
+    cells = M.staged(M.sane_market(S.market(spark, sf), cfg).groupBy("city", "hood").agg(
+        F.min("pps").alias("pps_min"), F.max("pps").alias("pps_max")).where(F.col("hood") != ""), "range-cells")
+    subj = S.auctions(spark, sf).select(T.clean_city("city").alias("city"), "neighborhood")
+    keys = M.normal_names(subj, "neighborhood", "hood")
+    ranges = cells.select("city", "hood", F.explode(F.array("pps_min", "pps_max")).alias("pps"))
     return G.hood_range(M.market_pairs(keys, cells, cfg), ranges)
 
 

@@ -69,8 +69,7 @@ def string_array(words: Iterable[str]) -> Column:
 
 def lookup(c: Column, table: dict[str, str]) -> Column:
     """Value of a fixed map, null when the key is absent."""
-    flat = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*flat), c)
+    return F.try_element_at(constant(table, "map<string,string>"), c)
 
 
 def round_exact(c: Column, digits: int = 0) -> Column:

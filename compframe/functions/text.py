@@ -10,12 +10,12 @@ from compframe.functions.core import (
 )
 
 
-def _alias_table() -> Column:
+def alias_table() -> Column:
     return constant([{"name": k, "names": v} for k, v in L.HOOD_ALIASES.items()],
                     "array<struct<name:string,names:array<string>>>")
 
 
-def _cluster_table() -> Column:
+def cluster_table() -> Column:
     return constant(list(L.HOOD_CLUSTERS.values()), "array<array<string>>")
 
 
@@ -47,7 +47,7 @@ def strip_hood(c: Column | str, compat: bool = True) -> Column:
 
 def hood_alias(c: Column) -> Column:
     """Canonical district of the first alias entry that equals or begins the text."""
-    hit = F.filter(_alias_table(),
+    hit = F.filter(alias_table(),
                    lambda e: F.array_contains(e["names"], c) | F.startswith(c, e["name"]))
     return F.get(hit, F.lit(0))["name"]
 
@@ -120,8 +120,8 @@ def normalized_similarity(l: Column, r: Column) -> Column:
     def entry_has(e: Column, x: Column) -> Column:
         return (e["name"] == x) | F.array_contains(e["names"], x)
 
-    shared_alias = F.exists(_alias_table(), lambda e: entry_has(e, l) & entry_has(e, r))
-    shared_cluster = F.exists(_cluster_table(),
+    shared_alias = F.exists(alias_table(), lambda e: entry_has(e, l) & entry_has(e, r))
+    shared_cluster = F.exists(cluster_table(),
                               lambda m: F.array_contains(m, l) & F.array_contains(m, r))
     shorter = F.least(F.length(l), F.length(r))
     prefix = F.size(F.filter(F.sequence(F.lit(1), shorter),

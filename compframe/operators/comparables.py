@@ -6,67 +6,43 @@ result depends on:
 * subjects become distinct *keys* (town, district, size, band) and every pass of the
   ladder becomes a *window* over the market: a town, a district or the whole town, and a
   size interval;
-* market rows become counted *cells* (town, district, size, price step).
-
-Counts of all six passes come from the cells. A window takes whole size buckets as they are
-summed and looks at single sizes only in the two buckets of its ends, which hold as many sizes as
-a square metre has distinguishable ones. The upper median of the chosen window is found by selection in
-two levels: the price step that holds the wanted rank, then the exact price inside that step. Market rows
-are counted into cells before they are shuffled or spread over scopes, so a town with a third of
-all rows is a set of cells by then.
+* market rows become counted *cells* (town, district, size, price).
+
+Windows are counted, and their medians and price ranges found, by running sums over the sizes of
+a town or district (``running``): the cost grows with cells and windows, not with their product.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from compframe.config import ValuationConfig
 from compframe.functions import price as P
 from compframe.functions import text as T
 from compframe import lookups as L
 from compframe.operators.filters import sane_comparable
+from compframe.operators.running import END, first_cut, values_at
 from compframe.session import staged, staged_together
 
 WHOLE_TOWN = ""              # district key of a town-wide window
-ALL_SIZES = -(1 << 40)       # size bucket of a window without bounds
 WINDOW = ["city", "hood", "lo", "hi"]
 KEY = ["city", "hood", "size", "band_lo", "band_hi"]
 
 
-def _bucket(c: Column, width: float) -> Column:
-    return F.floor(c / F.lit(width))
-
-
 # ---------------------------------------------------------------- district pairs
 
-def _hood_keys(norm: Column) -> Column:
-    """Join keys shared by equal, alias and cluster pairs."""
-    aliases = [
-        F.when((norm == name) | norm.isin(*names), F.lit(f"a{i}"))
-        for i, (name, names) in enumerate(L.HOOD_ALIASES.items())
-    ]
-    clusters = [
-        F.when(norm.isin(*members), F.lit(f"c{i}"))
-        for i, members in enumerate(L.HOOD_CLUSTERS.values())
-    ]
-    return F.array_compact(F.array(F.concat(F.lit("="), norm), *aliases, *clusters))
-
-
-def _containing(inner: DataFrame, outer: DataFrame, inner_col: str, outer_col: str) -> DataFrame:
-    """Pairs (inner, outer) of one town where the outer name contains the inner one.
+def _hood_keys(norm: Column, outer: str, inner: str) -> Column:
+    """Join keys that two names share if they are equal, aliases, of one cluster, or one contains the other.
 
-    Every piece of the outer name that is as long as some inner name of the town is an
-    equi-join key; no pair is compared that does not match.
+    A name is a key under ``inner`` and each of its pieces one under ``outer``; the other side has them the other way round.
     """
-    lengths = inner.groupBy("city").agg(F.collect_set(F.length(inner_col)).alias("lengths"))
-    name = F.col(outer_col)
-    pieces = outer.join(lengths, "city").select(
-        "city", outer_col,
-        F.explode(F.array_distinct(F.flatten(F.transform(
-            F.filter("lengths", lambda n: n <= F.length(name)),
-            lambda n: F.transform(F.sequence(F.lit(1), F.length(name) - n + 1),
-                                  lambda i: F.substr(name, i, n)))))).alias(inner_col))
-    return inner.join(pieces, ["city", inner_col]).select("city", inner_col, outer_col)
+    aliases = F.transform(F.filter(T.alias_table(), lambda e: (e["name"] == norm) | F.array_contains(e["names"], norm)),
+                          lambda e: F.concat(F.lit("a"), e["name"]))
+    clusters = F.transform(F.filter(T.cluster_table(), lambda m: F.array_contains(m, norm)), lambda m: F.concat(F.lit("c"), F.get(m, F.lit(0))))
+    n = F.length(norm)
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda size: F.transform(
+        F.sequence(F.lit(1), n - size + 1), lambda at: F.concat(F.lit(outer), F.substr(norm, at, size)))))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit(inner), norm)), aliases, clusters, pieces))
 
 
 def similar_hoods(left: DataFrame, right: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -78,15 +54,14 @@ def similar_hoods(left: DataFrame, right: DataFrame, threshold: float = 0.7) ->
     """
     if threshold <= 0.5:
         raise ValueError("candidates are complete only for thresholds above 0.5")
-    a = left.select("city", F.col("hood").alias("l_hood"))
-    b = right.select("city", F.col("hood").alias("r_hood"))
-    keyed = (
-        a.withColumn("k", F.explode(_hood_keys(F.col("l_hood"))))
-        .join(b.withColumn("k", F.explode(_hood_keys(F.col("r_hood")))), ["city", "k"])
-        .select("city", "l_hood", "r_hood")
-    )
-    inside = _containing(a, b, "l_hood", "r_hood").unionByName(_containing(b, a, "r_hood", "l_hood"))
-    pairs = keyed.unionByName(inside).distinct()
+    return similar_names(left.select("city", F.col("hood").alias("l_hood")), right.select("city", F.col("hood").alias("r_hood")), threshold)
+
+
+def similar_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """The same for (city, l_hood) and (city, r_hood) rows; further columns of ``right`` are kept."""
+    a = left.where("l_hood <> ''").select("city", "l_hood", F.explode(_hood_keys(F.col("l_hood"), "<", ">")).alias("k"))
+    b = right.where("r_hood <> ''").select("*", F.explode(_hood_keys(F.col("r_hood"), ">", "<")).alias("k"))
+    pairs = a.join(b, ["city", "k"]).drop("k").distinct()
     scored = pairs.withColumn("similarity", T.normalized_similarity(F.col("l_hood"), F.col("r_hood")))
     return scored.where(F.col("similarity") >= threshold)
 
@@ -96,25 +71,19 @@ def similar_hoods(left: DataFrame, right: DataFrame, threshold: float = 0.7) ->
 def sane_market(market: DataFrame, cfg: ValuationConfig) -> DataFrame:
     """The four market columns the ladder needs, comparison range applied."""
     return market.where(sane_comparable(F.col("price_per_sqm"), cfg)).select(
-        "city", F.col("neighborhood").alias("hood"), F.col("size_sqm").alias("size"),
-        F.col("price_per_sqm").alias("pps"),
-        _bucket(F.col("price_per_sqm"), cfg.pps_bucket).alias("step"))
+        "city", F.col("neighborhood").alias("hood"), F.col("size_sqm").alias("size"), F.col("price_per_sqm").alias("pps"))
 
 
-def scoped_cells(market: DataFrame, cfg: ValuationConfig) -> DataFrame:
-    """Counted cells in three scopes: district and size, whole town and size, whole district."""
-    cells = market.groupBy("city", "hood", "size", "step").agg(
-        F.count("*").alias("n"), F.min("pps").alias("pps_min"), F.max("pps").alias("pps_max"))
+def market_cells(market: DataFrame) -> DataFrame:
+    """Equal rows counted; what is sorted and spread over scopes are cells."""
+    return market.groupBy("city", "hood", "size", "pps").agg(F.count("*").alias("n"))
 
-    def fold(df: DataFrame, keys: list[str]) -> DataFrame:
-        return df.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("pps_min").alias("pps_min"),
-                                     F.max("pps_max").alias("pps_max"))
 
-    named = cells.where(F.col("hood") != WHOLE_TOWN)
-    town = fold(cells, ["city", "size", "step"]).withColumn("hood", F.lit(WHOLE_TOWN))
-    district = fold(named, ["city", "hood", "step"]).withColumn("size", F.lit(None).cast("double"))
-    sized = named.unionByName(town).withColumn("bucket", _bucket(F.col("size"), cfg.size_bucket))
-    return sized.unionByName(district.withColumn("bucket", F.lit(ALL_SIZES).cast("bigint")))
+def in_scopes(cells: DataFrame, towns_only: bool = False) -> DataFrame:
+    """Cells in the scopes that windows look at: their town and, if they name one, their district."""
+    named = F.when(F.col("hood") != WHOLE_TOWN, F.col("hood"))
+    scopes = F.array(F.lit(WHOLE_TOWN)) if towns_only else F.array_compact(F.array(F.lit(WHOLE_TOWN), named))
+    return cells.where(F.col("city").isNotNull()).select("city", F.explode(scopes).alias("m_hood"), F.col("size").alias("position"), F.col("pps").alias("value"), "n")
 
 
 # ---------------------------------------------------------------- windows
@@ -142,94 +111,22 @@ def _pass_windows(cfg: ValuationConfig) -> Column:
     ))
 
 
-def _spread(windows: DataFrame, pairs: DataFrame, cfg: ValuationConfig) -> DataFrame:
-    """Windows with the market districts and size buckets they cover."""
-    unbounded = F.col("hi") == F.lit(float("inf"))
-    first = _bucket(F.when(~unbounded, F.col("lo")).otherwise(0.0), cfg.size_bucket)
-    last = _bucket(F.when(~unbounded, F.col("hi")).otherwise(0.0), cfg.size_bucket)
-    every = F.array(F.struct(F.lit(ALL_SIZES).cast("bigint").alias("bucket"), F.lit(False).alias("edge")))
-    buckets = F.when(unbounded, every).otherwise(F.transform(
-        F.sequence(first, last), lambda b: F.struct(b.alias("bucket"), ((b == first) | (b == last)).alias("edge"))))
+def spread(windows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Windows with the market districts they cover, one row each; an open end takes in every row."""
     town = windows.where(F.col("hood") == WHOLE_TOWN).withColumn("m_hood", F.lit(WHOLE_TOWN))
     hood = windows.where(F.col("hood") != WHOLE_TOWN).join(pairs, ["city", "hood"])
-    return town.unionByName(hood).withColumn("_b", F.explode(buckets)).select("*", "_b.*").drop("_b")
-
+    open_end = F.when(F.col("hi") == F.lit(float("inf")), F.lit(END)).otherwise(F.col("hi"))
+    return town.unionByName(hood).withColumn("hi", open_end).drop("hood")
 
-def _inside() -> Column:
-    return ~F.col("edge") | F.col("size").between(F.col("lo"), F.col("hi"))
 
+def _classes(cfg: ValuationConfig) -> int:
+    """Price steps up to the end of the comparison range."""
+    return int(cfg.pps_high // cfg.pps_bucket) + 1
 
-def _with_totals(sizes: DataFrame, keys: list[str], *sums: Column) -> DataFrame:
-    """Sizes for the buckets of a window's ends, and whole buckets for those between."""
-    own = sizes.groupBy(*keys, "size").agg(*sums).withColumn("edge", F.lit(True))
-    return own.unionByName(sizes.groupBy(*keys).agg(*sums).withColumns({"size": F.lit(None).cast("double"), "edge": F.lit(False)}))
 
-
-def window_counts(windows: DataFrame, pairs: DataFrame, cells: DataFrame, cfg: ValuationConfig) -> DataFrame:
-    """Rows, lowest and highest price of every window."""
-    sizes = _with_totals(cells.withColumnRenamed("hood", "m_hood"), ["city", "m_hood", "bucket"],
-                         F.sum("n").alias("n"), F.min("pps_min").alias("pps_min"), F.max("pps_max").alias("pps_max"))
-    return (
-        _spread(windows, pairs, cfg).join(sizes, ["city", "m_hood", "bucket", "edge"]).where(_inside())
-        .groupBy(*WINDOW)
-        .agg(F.sum("n").alias("n"), F.min("pps_min").alias("pps_min"), F.max("pps_max").alias("pps_max"))
-    )
-
-
-def _rank_holder(counted: DataFrame, value: str) -> DataFrame:
-    """For every window the first ``value`` whose running count passes ``rank`` (from 0).
-
-    One window holds at most as many rows as there are steps in the comparison range, or
-    prices in one step, whatever the size of the market.
-    """
-    run = F.sum("n").over(Window.partitionBy("wid").orderBy(value)
-                          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = F.col("_upto") - F.col("n")
-    return (
-        counted.withColumn("_upto", run)
-        .where((F.col("_upto") > F.col("rank")) & (before <= F.col("rank")))
-        .select("wid", value, (F.col("rank") - before).alias("rank"))
-    )
-
-
-def window_medians(windows: DataFrame, pairs: DataFrame, cells: DataFrame, market: DataFrame,
-                   cfg: ValuationConfig) -> DataFrame:
-    """Exact upper median of every window, as (wid, median).
-
-    ``windows`` has an id ``wid``, the window columns and the row count ``n``.
-    """
-    wanted = _spread(windows.withColumn("rank", F.floor(F.col("n") / 2)).drop("n"), pairs, cfg)
-    steps = _with_totals(cells.withColumnRenamed("hood", "m_hood"), ["city", "m_hood", "bucket", "step"], F.sum("n").alias("n"))
-    by_step = (
-        wanted.join(steps, ["city", "m_hood", "bucket", "edge"]).where(_inside())
-        .groupBy("wid", "step").agg(F.sum("n").alias("n"), F.first("rank").alias("rank"))
-    )
-    held = staged(_rank_holder(by_step, "step"), "ladder-steps")
-    targets = _spread(windows.drop("n"), pairs, cfg).join(held, "wid")
-    touched = targets.select("city", "m_hood", "bucket", "step").distinct()
-
-    width, every = cfg.size_bucket, F.lit(ALL_SIZES).cast("bigint")
-    sized = _bucket(F.col("size"), width)
-    named = F.col("hood") != WHOLE_TOWN  # a blank district is no district; its rows count for the town once
-    scopes = F.array_compact(F.array(
-        F.struct(F.lit(WHOLE_TOWN).alias("m_hood"), sized.alias("bucket")),
-        F.when(named, F.struct(F.col("hood").alias("m_hood"), sized.alias("bucket"))),
-        F.when(named, F.struct(F.col("hood").alias("m_hood"), every.alias("bucket"))),
-    ))
-    # counted first: what is spread over the scopes are cells of equal rows, not rows
-    exact = market.groupBy("city", "hood", "size", "step", "pps").agg(F.count("*").alias("n"))
-    prices = (
-        exact.select("city", "size", "step", "pps", "n", F.explode(scopes).alias("scope"))
-        .select("city", "scope.*", "step", "pps", "n",
-                F.when(F.col("scope.bucket") != ALL_SIZES, F.col("size")).alias("size"))
-        .join(touched, ["city", "m_hood", "bucket", "step"], "left_semi")
-        .groupBy("city", "m_hood", "bucket", "step", "size", "pps").agg(F.sum("n").alias("n"))
-    )
-    by_price = (
-        targets.join(prices, ["city", "m_hood", "bucket", "step"]).where(_inside())
-        .groupBy("wid", "pps").agg(F.sum("n").alias("n"), F.first("rank").alias("rank"))
-    )
-    return _rank_holder(by_price, "pps").select("wid", F.col("pps").alias("median"))
+def _targets(spread_windows: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Spread windows with the class and rank of what is wanted of them; ``ranks``: wid, tid, digit, rank."""
+    return spread_windows.withColumnRenamed("tid", "wid").join(ranks, "wid").drop("wid")
 
 
 # ---------------------------------------------------------------- the ladder
@@ -245,16 +142,20 @@ def subject_key(subjects: DataFrame) -> DataFrame:
     })
 
 
-def market_pairs(keys: DataFrame, cells: DataFrame, cfg: ValuationConfig) -> DataFrame:
-    """(city, subject district, market district as stored) for all similar districts."""
-    stored = (
-        cells.where((F.col("bucket") == ALL_SIZES)).select("city", F.col("hood").alias("m_hood")).distinct()
-        .withColumn("hood", T.normalize_hood("m_hood")).where(F.col("hood").isNotNull())
-    )
-    left = keys.where(F.col("hood") != WHOLE_TOWN).select("city", "hood").distinct()
-    similar = similar_hoods(left, stored.select("city", "hood").distinct(), cfg.similarity)
-    return similar.join(stored.withColumnRenamed("hood", "r_hood"), ["city", "r_hood"]).select(
-        "city", F.col("l_hood").alias("hood"), "m_hood")
+def normal_names(rows: DataFrame, raw: str, out: str) -> DataFrame:
+    """Distinct rows with the normalised name ``out`` of a district column, blank ones left out.
+
+    Names are made distinct first and normalised behind a generator: a plain projection would let the
+    optimizer merge both distinct steps and normalise every row.
+    """
+    return rows.distinct().withColumn(out, F.explode(F.array(T.normalize_hood(raw)))).where(F.col(out) != "")
+
+
+def market_pairs(keys: DataFrame, hoods: DataFrame, cfg: ValuationConfig) -> DataFrame:
+    """(city, subject district, market district as stored) for all similar districts; ``hoods`` are the stored ones."""
+    a = keys.where(F.col("hood") != WHOLE_TOWN).select("city", F.col("hood").alias("l_hood")).distinct()
+    b = hoods.where(F.col("hood") != WHOLE_TOWN).select("city", F.col("hood").alias("m_hood"))
+    return similar_names(a, normal_names(b, "m_hood", "r_hood"), cfg.similarity).select("city", F.col("l_hood").alias("hood"), "m_hood")
 
 
 def value_subjects(subjects: DataFrame, market: DataFrame,
@@ -266,32 +167,39 @@ def value_subjects(subjects: DataFrame, market: DataFrame,
     comparables_count, match_pass (1..6), comparables_level, matched_hood and the price
     range of the town at that size (range_min, range_max). Unmatched rows keep nulls.
     """
-    keyed = subject_key(subjects)
-    clean = sane_market(market, cfg)
-    keys, cells = staged_together(
-        ladder_keys=keyed.select(*KEY).distinct().withColumn("kid", F.monotonically_increasing_id()),
-        ladder_cells=scoped_cells(clean, cfg))
-    pairs = staged(market_pairs(keys, cells, cfg), "ladder-hoods")
-
+    # subjects are read twice, their texts once
+    keyed, cells = staged_together(ladder_subjects=subject_key(subjects), ladder_cells=market_cells(sane_market(market, cfg)))
+    keys = staged(keyed.select(*KEY).distinct().withColumn("kid", F.monotonically_increasing_id()), "ladder-keys")
     tried = keys.withColumn("w", F.explode(_pass_windows(cfg))).select("kid", "city", "w.*")
-    counts = window_counts(tried.select(*WINDOW).distinct(), pairs, cells, cfg)
+    pairs, windows = staged_together(
+        ladder_hoods=market_pairs(keys, cells, cfg),
+        ladder_windows=tried.select(*WINDOW).distinct().withColumn("wid", F.monotonically_increasing_id()))
+
+    place, classes = ["city", "m_hood"], _classes(cfg)
+    scoped = in_scopes(cells)
+    looked = spread(windows.withColumnRenamed("wid", "tid"), pairs)
+    ranks = staged(first_cut(scoped, looked, place, cfg.pps_bucket, classes).withColumnRenamed("tid", "wid"), "ladder-ranks")
     enough = F.col("n") >= cfg.min_comparables
-    found = F.struct("pass", *[F.col(c) for c in WINDOW if c != "city"], "n")
-    picked = (
-        tried.join(counts, WINDOW).groupBy("kid", "city")
-        .agg(F.min(F.when(enough, found)).alias("pick"),
-             F.max(F.when(F.col("pass") == 6, F.col("pps_min"))).alias("range_min"),
-             F.max(F.when(F.col("pass") == 6, F.col("pps_max"))).alias("range_max"))
-        .where(F.col("pick").isNotNull())
-    )
-    picked = staged(picked.select("kid", "range_min", "range_max", "pick.pass", "city",
-                                  "pick.hood", "pick.lo", "pick.hi", "pick.n"), "ladder-picked")
-    windows = picked.groupBy(*WINDOW, "n").agg(F.min("kid").alias("wid"))
-    medians = window_medians(windows, pairs, cells, clean, cfg)
+    picked = staged(
+        tried.join(windows, WINDOW).join(ranks.select("wid", "n"), "wid").groupBy("kid")
+        .agg(F.min(F.when(enough, F.struct("pass", "wid", "n"))).alias("pick"), F.max(F.when(F.col("pass") == 6, F.col("wid"))).alias("town_wid"))
+        .where(F.col("pick").isNotNull()).select("kid", "pick.*", "town_wid"), "ladder-picked")
+
+    used = picked.select("wid", F.lit(0).alias("kind")).unionByName(picked.select(F.col("town_wid").alias("wid"), F.lit(1).alias("kind"))).distinct()
+    wanted = F.when(F.col("kind") == 0, F.array(F.struct(F.lit(0).alias("what"), "digit", "rank"))).otherwise(F.array(
+        F.struct(F.lit(1).alias("what"), F.col("low").alias("digit"), F.lit(0).cast("bigint").alias("rank")),
+        F.struct(F.lit(2).alias("what"), F.col("high").alias("digit"), F.col("high_rank").alias("rank"))))
+    asked = ranks.join(used, "wid").select("wid", F.explode(wanted).alias("w")).select(
+        "wid", (F.col("wid") * 3 + F.col("w.what")).alias("tid"), "w.digit", "w.rank")
+    targets = staged(_targets(looked, asked), "ladder-targets")
+    found = values_at(scoped, targets, place, cfg.pps_bucket, classes)
+    wid, what = F.expr("tid DIV 3"), F.col("tid") % 3
+    values = staged(found.groupBy(wid.alias("wid")).agg(*[
+        F.max(F.when(what == i, F.col("value"))).alias(c) for i, c in enumerate(("market_median", "range_min", "range_max"))]), "ladder-values")
     valued = (
-        picked.join(windows.drop("n"), WINDOW).join(medians, "wid").drop(*WINDOW).join(keys, "kid")
-        .select(*KEY, F.col("median").alias("market_median"), F.col("n").alias("comparables_count"),
-                F.col("pass").alias("match_pass"), "range_min", "range_max")
+        picked.join(values.select("wid", "market_median"), "wid")
+        .join(values.select(F.col("wid").alias("town_wid"), "range_min", "range_max"), "town_wid", "left").join(keys, "kid")
+        .select(*KEY, "market_median", F.col("n").alias("comparables_count"), F.col("pass").alias("match_pass"), "range_min", "range_max")
     )
     by_hood = F.col("match_pass") <= 4
     return (
@@ -307,15 +215,21 @@ def value_subjects(subjects: DataFrame, market: DataFrame,
 def city_size_median(subjects: DataFrame, market: DataFrame,
                      cfg: ValuationConfig = ValuationConfig()) -> DataFrame:
     """The last pass alone: town and size +-tolerance, as (city, size, n, median, range)."""
-    keys = subjects.select("city", F.col("size_sqm").alias("size")).distinct()
-    clean = sane_market(market, cfg)
-    cells = staged(scoped_cells(clean, cfg), "ladder-cells")
-    none = keys.select("city", F.lit("").alias("hood"), F.lit("").alias("m_hood")).where(F.lit(False))
-    windows = keys.select("city", F.lit(WHOLE_TOWN).alias("hood"),
-                          (F.col("size") - cfg.size_tolerance).alias("lo"),
-                          (F.col("size") + cfg.size_tolerance).alias("hi"), "size")
-    counts = window_counts(windows.drop("size"), none, cells, cfg).where(F.col("n") >= cfg.min_comparables)
-    chosen = staged(windows.join(counts, WINDOW).withColumn("wid", F.monotonically_increasing_id()),
-                    "town-windows")
-    medians = window_medians(chosen.select("wid", *WINDOW, "n"), none, cells, clean, cfg)
-    return chosen.join(medians, "wid").select("city", "size", "n", "median", "pps_min", "pps_max")
+    keys = subjects.select("city", F.col("size_sqm").alias("size")).where("city IS NOT NULL AND size_sqm IS NOT NULL").distinct()
+    cells, windows = staged_together(
+        ladder_cells=market_cells(sane_market(market, cfg)),
+        town_windows=keys.select("city", F.lit(WHOLE_TOWN).alias("m_hood"), "size", (F.col("size") - cfg.size_tolerance).alias("lo"),
+                                 (F.col("size") + cfg.size_tolerance).alias("hi")).withColumn("tid", F.monotonically_increasing_id()))
+    place, classes = ["city", "m_hood"], _classes(cfg)
+    scoped = in_scopes(cells, towns_only=True)
+    looked = windows.drop("size")
+    ranks = staged(first_cut(scoped, looked, place, cfg.pps_bucket, classes).where(F.col("n") >= cfg.min_comparables), "town-ranks")
+    asked = ranks.select(F.col("tid").alias("wid"), F.explode(F.array(
+        F.struct(F.lit(0).alias("what"), "digit", "rank"), F.struct(F.lit(1).alias("what"), F.col("low").alias("digit"), F.lit(0).cast("bigint").alias("rank")),
+        F.struct(F.lit(2).alias("what"), F.col("high").alias("digit"), F.col("high_rank").alias("rank")))).alias("w")).select(
+        "wid", (F.col("wid") * 3 + F.col("w.what")).alias("tid"), "w.digit", "w.rank")
+    found = values_at(scoped, staged(_targets(looked, asked), "town-targets"), place, cfg.pps_bucket, classes)
+    what = F.col("tid") % 3
+    values = found.groupBy(F.expr("tid DIV 3").alias("tid")).agg(*[
+        F.max(F.when(what == i, F.col("value"))).alias(c) for i, c in enumerate(("median", "pps_min", "pps_max"))])
+    return windows.join(ranks.select("tid", "n"), "tid").join(values, "tid").select("city", "size", "n", "median", "pps_min", "pps_max")

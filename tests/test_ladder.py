@@ -95,3 +95,69 @@ def test_upper_median_with_one_hot_key(spark):
     for k, v in rows:
         groups.setdefault(k, []).append(v)
     assert got == {k: sorted(v)[len(v) // 2] for k, v in groups.items()}
+
+
+def windows_by_hand(cells, windows):
+    """(n, median, lowest, highest) of every window, from whole lists."""
+    out = {}
+    for tid, places, lo, hi in windows:
+        found = sorted(v for place, pos, v, n in cells for _ in range(n)
+                       if place in places and ((lo == float("-inf") and hi != hi) or (pos is not None and lo <= pos <= hi)))
+        if found:
+            out[tid] = (len(found), found[len(found) // 2], found[0], found[-1])
+    return out
+
+
+def ranked(spark, cells, windows):
+    from compframe.operators.running import first_cut, values_at
+    c = spark.createDataFrame(cells, "place string, position double, value double, n long").repartition(5)
+    w = spark.createDataFrame([(t, p, lo, hi) for t, places, lo, hi in windows for p in places], "tid long, place string, lo double, hi double")
+    cut = first_cut(c, w, ["place"], 50.0, 101).persist()
+    rows = {r.tid: r for r in cut.collect()}
+    asked = [(3 * t + i, d, k, t) for t, r in rows.items() for i, (d, k) in enumerate(((r.digit, r["rank"]), (r.low, 0), (r.high, r.high_rank)))]
+    targets = spark.createDataFrame(asked, "id long, digit int, rank long, tid long").join(w, "tid").drop("tid").withColumnRenamed("id", "tid")
+    found = {r.tid: r.value for r in values_at(c, targets, ["place"], 50.0, 101).collect()}
+    return {t: (r.n, *(found[3 * t + i] for i in range(3))) for t, r in rows.items()}
+
+
+def running_case(seed, n, sizes, prices):
+    rnd = random.Random(seed)
+    cells = [(rnd.choice("aaab"), rnd.choice([None, *[sizes(rnd)] * 20]), prices(rnd), rnd.choice([1, 1, 1, 4])) for _ in range(n)]
+    windows = []
+    for t in range(80):
+        x = sizes(rnd)
+        windows.append((t, rnd.choice([["a"], ["b"], ["a", "b"], ["c"]]),
+                        *rnd.choice([(x - 10, x + 10), (x, x), (x + 0.5, x + 30), (float("-inf"), float("nan"))])))
+    return cells, windows
+
+
+def test_running_sums_with_real_sizes_and_prices(spark, monkeypatch):
+    """Every size and price its own: classes are cut again and again until few rows are left."""
+    from compframe.operators import running
+    monkeypatch.setattr(running, "PAIRS", 0)
+    monkeypatch.setattr(running, "DEEPEST", 4)
+    cells, windows = running_case(1, 4000, lambda r: r.uniform(10, 120), lambda r: r.uniform(0, 5050))
+    assert ranked(spark, cells, windows) == windows_by_hand(cells, windows)
+
+
+def test_running_sums_with_equal_sizes_and_prices(spark, monkeypatch):
+    from compframe.operators import running
+    monkeypatch.setattr(running, "PAIRS", 0)
+    monkeypatch.setattr(running, "DEEPEST", 3)
+    cells, windows = running_case(2, 3000, lambda r: float(r.choice([20, 30, 60])), lambda r: r.choice([50.0, 99.99, 100.0, 100.01, 4999.99, 7000.0]))
+    assert ranked(spark, cells, windows) == windows_by_hand(cells, windows)
+
+
+def test_one_town_of_distinct_sizes_costs_two_passes(spark):
+    """100,000 distinct sizes and prices in one town: counted and selected against numpy."""
+    import numpy as np
+    from compframe.operators.running import first_cut, values_at
+    r = np.random.default_rng(4)
+    size, price = r.uniform(10, 150, 100_000), r.uniform(200, 5000, 100_000)
+    lo = r.uniform(10, 130, 400)
+    cells = spark.createDataFrame(list(zip(["t"] * len(size), size.tolist(), price.tolist(), [1] * len(size))), "place string, position double, value double, n long")
+    w = spark.createDataFrame([(i, "t", float(x), float(x) + 20) for i, x in enumerate(lo)], "tid long, place string, lo double, hi double")
+    cut = first_cut(cells, w, ["place"], 50.0, 101).select("tid", "n", "digit", "rank")
+    got = {x.tid: x.value for x in values_at(cells, cut.drop("n").join(w, "tid"), ["place"], 50.0, 101).collect()}
+    want = {i: float(np.sort(price[(size >= x) & (size <= x + 20)])[((size >= x) & (size <= x + 20)).sum() // 2]) for i, x in enumerate(lo)}
+    assert got == want
