@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from compframe.catalog import standin as S
@@ -72,14 +73,29 @@ def stream_once(spark, sf):
 @query("stream_upsert", "SELECT user_id AS id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_seen, "
        "arg_max(event_type, ts) AS event_type, true AS is_active FROM events GROUP BY user_id")
 def stream_upsert(spark, sf):
-    """Upsert that keeps first_seen, batch by batch."""
+    """Upsert that keeps first_seen, in the state store."""
     out = folder(spark, "upsert")
-    empty = spark.createDataFrame([], "id bigint, event_type string, first_seen timestamp, last_seen timestamp, is_active boolean")
-    store = X.VersionedTable(spark, f"{out}/rows", empty)
     rows = event_stream(spark, sf).select(F.col("user_id").alias("id"), "ts", "event_type")
-    X.run_to_end(rows, f"{out}/state", each=store.step(X.upsert_change()))
+    X.run_to_end(X.upsert_stream(rows), f"{out}/state", each=X.to_changes(f"{out}/rows"), mode="update")
     shown = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("first_seen", "last_seen")}
-    return store.read().withColumns(shown)
+    return X.current(spark, f"{out}/rows").withColumns(shown)
+
+
+@query("stream_sync", "SELECT event_id, user_id FROM events")
+def stream_sync(spark, sf):
+    """Two syncs, the first of which breaks off after it has delivered."""
+    out = folder(spark, "sync")
+    rows = event_stream(spark, sf).select("event_id", "user_id")
+
+    def broken(batch, number):
+        X.to_changes(f"{out}/rows")(batch, number)
+        raise InterruptedError("the line broke before the sync was marked")
+
+    try:
+        X.sync(rows, f"{out}/state", broken)
+    except StreamingQueryException:
+        X.sync(rows, f"{out}/state", X.to_changes(f"{out}/rows"))
+    return spark.read.parquet(f"{out}/rows").select("event_id", "user_id")
 
 
 @query("stream_retain", "SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
@@ -87,6 +103,6 @@ def stream_retain(spark, sf):
     """Seven-day retention, batch by batch (T4)."""
     out = folder(spark, "retain")
     rows = event_stream(spark, sf).select("event_id", "user_id", "ts")
-    store = X.VersionedTable(spark, f"{out}/rows", spark.createDataFrame([], "event_id bigint, user_id bigint, ts timestamp"))
-    X.run_to_end(rows, f"{out}/state", each=store.step(X.retain_change("ts")))
+    store = X.DatedStore(spark, f"{out}/rows", "ts")
+    X.run_to_end(rows, f"{out}/state", each=store.append)
     return store.read().select("event_id", "user_id")

@@ -10,8 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from compframe.config import RATE_LIMIT_MAX, RATE_LIMIT_WINDOW_S, RETENTION_DAYS
 from compframe.operators.bursts import admit
-from compframe.operators.incremental import incremental_merge, upsert_keep_first_seen
-from compframe.operators.ranking import keep_first
+from compframe.session import remove_path
 
 
 def dedupe_posts(posts: DataFrame, key: str = "id", ts: str = "ts", within: str = "30 days") -> DataFrame:
@@ -50,64 +49,131 @@ def burst_stream(events: DataFrame, limit: int = RATE_LIMIT_MAX, window_s: int =
         GroupStateTimeout.EventTimeTimeout)
 
 
-class VersionedTable:
-    """A keyed table rewritten by every micro-batch under the batch's number.
+def upsert_stream(rows: DataFrame, key: str = "id", ts: str = "ts") -> DataFrame:
+    """Rows per key as an upsert leaves them: fields of the newest row, first and last time seen.
 
-    A batch that is run again after a failure reads the version before it and overwrites
-    its own, so the result is the same.
+    The keyed rows are an aggregate in Spark's state store: a micro-batch reads and writes the keys it names, and in update
+    mode only those come out. Rows of equal time are settled by their fields, smallest first; a late row can move
+    ``first_seen`` back but does not replace newer fields.
     """
+    fields = [c for c in rows.columns if c not in (key, ts)]
+    newest_first = F.struct((-F.unix_micros(ts)).alias("_age"), *fields)
+    kept = rows.groupBy(key).agg(F.min_by(F.struct(*fields), newest_first).alias("f"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
+    return kept.select(key, "f.*", "first_seen", "last_seen", F.lit(True).alias("is_active"))
 
-    def __init__(self, spark: SparkSession, path: str, empty: DataFrame):
-        self.spark, self.path, self.empty = spark, path.rstrip("/"), empty
-        self.last = -1
-
-    def read(self, version: int | None = None) -> DataFrame:
-        v = self.last if version is None else version
-        if v < 0:
-            return self.empty
-        return self.spark.read.schema(self.empty.schema).parquet(f"{self.path}/v{v}")
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.select(*self.empty.columns).write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        self.last = version
-
-    def step(self, change: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-        def run(batch: DataFrame, number: int) -> None:
-            self.write(change(self.read(number - 1), batch), number)
-        return run
-
-
-def latest_per_key(batch: DataFrame, key: str, ts: str) -> DataFrame:
-    tie = [F.col(c).asc_nulls_first() for c in batch.columns if c not in (key, ts)]
-    return keep_first(batch, [key], [F.col(ts).desc(), *tie])
-
-
-def upsert_change(key: str = "id", ts: str = "ts") -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Upsert of a micro-batch: newest row per key wins, first_seen stays."""
-    def change(known: DataFrame, batch: DataFrame) -> DataFrame:
-        span = batch.groupBy(key).agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-        rows = latest_per_key(batch, key, ts).drop(ts)
-        merged = upsert_keep_first_seen(known, rows, F.lit(None).cast("timestamp"), key)
-        return merged.join(span, key, "left").withColumns({
-            "first_seen": F.coalesce("first_seen", "lo"), "last_seen": F.coalesce("hi", "last_seen")}).drop("lo", "hi")
-    return change
-
-
-def merge_change(now, details: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Incremental merge of a micro-batch that is one full snapshot of ids."""
-    def change(known: DataFrame, batch: DataFrame) -> DataFrame:
-        return incremental_merge(known, batch, details(batch), now)
-    return change
-
-
-def retain_change(ts: str = "scraped_at", days: int = RETENTION_DAYS) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Append a micro-batch, then drop what is older than the newest row by more than ``days``."""
-    def change(store: DataFrame, batch: DataFrame) -> DataFrame:
-        rows = store.unionByName(batch.select(*store.columns))
-        newest = rows.agg(F.max(ts).alias("newest"))
-        mark = newest.first()["newest"]
-        return rows if mark is None else rows.where(F.col(ts) >= F.lit(mark) - F.expr(f"INTERVAL {days} DAYS"))
-    return change
+
+def snapshot_stream(snapshots: DataFrame, fields: list[str]) -> DataFrame:
+    """Changes that a stream of full snapshots makes to a keyed table, in update mode.
+
+    ``snapshots`` has id, run (the snapshot's time), ``fields`` and is_expired as the details of that run give them (null: no
+    details could be had). A listed id that is not live is inserted or revived with live details and keeps first_seen_at. A
+    live id that the next snapshot does not list expires: its timer ends when the watermark passes the run that saw it
+    last, so a snapshot costs the ids it lists and those that leave, never the table. A micro-batch must be one snapshot.
+    """
+    types = {f.name: f.dataType.simpleString() for f in snapshots.schema.fields}
+    stamps = ["scraped_at", "first_seen_at", "last_updated_at"]
+    names = [*fields, "is_expired", *stamps]  # times are microseconds in here, so no time zone plays a part
+    columns = ", ".join([*(f"{f} {types[f]}" for f in fields), "is_expired boolean", *(f"{s} bigint" for s in stamps)])
+
+    def plain(v: object) -> object:
+        return None if v is None or v is pd.NaT or v != v else v.item() if hasattr(v, "item") else v
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = dict(zip([*names, "seen"], state.get, strict=True)) if state.exists else None
+        passed = state.getCurrentWatermarkMs() * 1000
+        changed = False
+        # a key with new rows gets no time-out of its own, even if it missed the snapshot before
+        if held and not held["is_expired"] and held["seen"] < passed:
+            held, changed = held | {"is_expired": True, "last_updated_at": passed}, True
+        rows = [] if state.hasTimedOut else [r for frame in frames for r in frame.to_dict("records")]
+        for row in sorted(rows, key=lambda r: r["us"]):
+            now = int(row["us"])
+            if held and now < held["seen"]:
+                continue  # an older snapshot than the one seen last
+            live = held is not None and not held["is_expired"]
+            if not live and plain(row["is_expired"]) is False:
+                first = held["first_seen_at"] if held else now
+                held = {f: plain(row[f]) for f in fields} | {
+                    "is_expired": False, "scraped_at": now, "first_seen_at": first, "last_updated_at": now, "seen": now}
+                changed = True
+            elif held:
+                held["seen"] = now
+        if held is None:
+            return
+        state.update(tuple(held[n] for n in [*names, "seen"]))
+        if not held["is_expired"]:
+            state.setTimeoutTimestamp(max(held["seen"], passed) // 1000 + 1)
+        if changed:
+            yield pd.DataFrame([{"id": key[0], **{n: held[n] for n in names}}])
+
+    timed = snapshots.withWatermark("run", "0 seconds").withColumn("us", F.unix_micros("run"))
+    out = timed.groupBy("id").applyInPandasWithState(
+        step, f"id {types['id']}, {columns}", f"{columns}, seen bigint", "update", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumns({s: F.timestamp_micros(s) for s in stamps})
+
+
+def to_changes(path: str) -> Callable[[DataFrame, int], None]:
+    """Sink of an update-mode stream: each micro-batch's rows under its number, overwritten if the batch runs again."""
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    return run
+
+
+def current(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
+    """The keyed table that a folder of changes describes: the last change of every key."""
+    rows = spark.read.parquet(path)
+    fields = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*fields), "batch").alias("r")).select("r.*")
+
+
+class DatedStore:
+    """Rows by day, each micro-batch in files of its own; a day behind the retention mark is dropped as a folder.
+
+    No kept row is written again. The mark is the newest time seen less ``days``. A row that arrives behind the mark is not
+    stored; one that falls behind it later is left out on reading until its whole day has.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, ts: str, days: int = RETENTION_DAYS):
+        self.spark, self.path, self.ts, self.days = spark, path.rstrip("/"), ts, days
+
+    def _days(self) -> list[str]:
+        """Days that have a folder; their number is bounded by the retention period."""
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = fs.listStatus(root) if fs.exists(root) else []
+        return sorted(f.getPath().getName().removeprefix("day=") for f in found if f.getPath().getName().startswith("day="))
+
+    def mark(self):
+        """Oldest time that is kept, from the newest day alone; null while nothing is stored."""
+        days = self._days()
+        if not days:
+            return F.lit(None).cast("timestamp")
+        newest = self.spark.read.parquet(f"{self.path}/day={days[-1]}").agg(F.max(self.ts)).first()[0]
+        return F.lit(newest) - F.expr(f"INTERVAL {self.days} DAYS")
+
+    def append(self, batch: DataFrame, number: int) -> None:
+        """One micro-batch: its rows are written, then days that ended behind the mark are dropped."""
+        dated = batch.where(F.coalesce(F.col(self.ts) >= self.mark(), F.col(self.ts).isNotNull())).withColumns(
+            {"day": F.date_format(self.ts, "yyyy-MM-dd"), "batch": F.lit(number)})
+        # only this batch's folders are overwritten, so a batch that runs again leaves the same files
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(self.path)
+        oldest = self.spark.range(1).select(F.date_format(self.mark(), "yyyy-MM-dd")).first()[0]
+        for day in self._days():
+            if oldest is not None and day < oldest:
+                remove_path(self.spark, f"{self.path}/day={day}")
+
+    def read(self) -> DataFrame:
+        rows = self.spark.read.parquet(self.path).drop("day", "batch")
+        return rows.where(F.col(self.ts) >= self.mark())
+
+
+def sync(stream: DataFrame, checkpoint: str, deliver: Callable[[DataFrame, int], None]) -> None:
+    """Deliver what is new since the last sync; the mark is the source's offset in the checkpoint.
+
+    A sync that ends in the middle leaves its batch planned: the next one delivers the same rows under the same number
+    again, and goes on. ``deliver`` must take a number it knows as the same batch.
+    """
+    run_to_end(stream, checkpoint, each=deliver)
 
 
 def run_to_end(stream: DataFrame, checkpoint: str, sink: str | None = None,

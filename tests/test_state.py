@@ -4,6 +4,8 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 
 
 from compframe.catalog import standin as S
@@ -79,22 +81,83 @@ def test_upsert_stream_over_several_batches(spark, tmp_path):
         rows = [(k, T0 + dt.timedelta(days=i, hours=k), f"{k}-{i}") for k in range(i, 5)]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    empty = spark.createDataFrame([], "id bigint, v string, first_seen timestamp, last_seen timestamp, is_active boolean")
-    store = X.VersionedTable(spark, str(tmp_path / "out"), empty)
-    X.run_to_end(src, str(tmp_path / "state"), each=store.step(X.upsert_change()))
-    out = {r.id: r for r in store.read().collect()}
+    changes = str(tmp_path / "out")
+    X.run_to_end(X.upsert_stream(src), str(tmp_path / "state"), each=X.to_changes(changes), mode="update")
+    # a micro-batch gives out the keys it names, not the table
+    assert [(r.batch, r["count"]) for r in spark.read.parquet(changes).groupBy("batch").count().orderBy("batch").collect()] == [(0, 5), (1, 4), (2, 3)]
+    out = {r.id: r for r in X.current(spark, changes).collect()}
     assert len(out) == 5
     assert out[4].first_seen == T0 + dt.timedelta(hours=4) and out[4].last_seen == T0 + dt.timedelta(days=2, hours=4)
-
-
-def test_merge_stream_equals_batch(spark, small, tmp_path):
-    known = S.known(spark, small)
-    S.current_ids(spark, small).coalesce(1).write.parquet(str(tmp_path / "in"))
-    store = X.VersionedTable(spark, str(tmp_path / "out"), known)
-    src = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in"))
-    X.run_to_end(src, str(tmp_path / "state"), each=store.step(X.merge_change(S.now(), lambda _: S.details(spark, small))))
-    want = I.incremental_merge(known, S.current_ids(spark, small), S.details(spark, small), S.now())
-    assert store.read().exceptAll(want).count() == 0 and store.read().count() == want.count()
+    assert {k: r.v for k, r in out.items()} == {0: "0-0", 1: "1-1", 2: "2-2", 3: "3-2", 4: "4-2"}
+    # restarted: a late row moves first_seen only, equal times are settled by the fields
+    late = [(0, T0 - dt.timedelta(days=9), "late"), (4, T0 + dt.timedelta(days=2, hours=4), "4-1"), (9, T0, "new")]
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    X.run_to_end(X.upsert_stream(src), str(tmp_path / "state"), each=X.to_changes(changes), mode="update")
+    out = {r.id: r for r in X.current(spark, changes).collect()}
+    assert (out[0].v, out[0].first_seen, out[4].v, out[9].v, len(out)) == ("0-0", T0 - dt.timedelta(days=9), "4-1", "new", 6)
+
+
+def test_snapshot_stream_equals_batch_merges(spark, tmp_path):
+    """Four snapshots, with a restart: the same table as merging them one after the other."""
+    schema = "id bigint, run timestamp, price double, is_expired boolean"
+    day = [T0 + dt.timedelta(days=i) for i in range(5)]
+    lists = [{1: 10.0, 2: 20.0, 3: 30.0, 9: None}, {1: 11.0, 2: 21.0, 4: 40.0}, {1: 12.0, 3: 33.0, 5: -1.0}, {1: 13.0, 4: 44.0, 9: 90.0}]
+    known = spark.createDataFrame([], "id bigint, price double, auction_end string, is_expired boolean, scraped_at timestamp, first_seen_at timestamp, last_updated_at timestamp")
+    (tmp_path / "in").mkdir()
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    changes = str(tmp_path / "out")
+    for i, ids in enumerate(lists):
+        rows = [(k, day[i], p, None if p is None else p < 0) for k, p in ids.items()]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        details = spark.createDataFrame([(k, p, None, p < 0) for k, p in ids.items() if p is not None], "id bigint, price double, auction_end string, is_expired boolean")
+        now = F.lit(day[i]).cast("timestamp")
+        known = spark.createDataFrame(I.incremental_merge(known, spark.createDataFrame([(k,) for k in ids], "id bigint"), details, now).collect(), known.schema)
+        if i in (1, 3):  # two snapshots a run, then again from the checkpoint
+            X.run_to_end(X.snapshot_stream(src, ["price"]), str(tmp_path / "state"), each=X.to_changes(changes), mode="update")
+    got = {r.id: (r.price, r.is_expired, r.first_seen_at, r.last_updated_at) for r in X.current(spark, changes).collect()}
+    assert got == {r.id: (r.price, r.is_expired, r.first_seen_at, r.last_updated_at) for r in known.collect()}
+
+
+def test_retention_drops_days_and_rewrites_nothing(spark, tmp_path):
+    store = X.DatedStore(spark, str(tmp_path / "rows"), "ts", 7)
+    T = dt.datetime(2024, 3, 1, 12)
+    batches = [[(i, T + dt.timedelta(days=i)) for i in range(5)], [(10, T + dt.timedelta(days=9)), (11, T + dt.timedelta(days=1)), (12, None)],
+               [(20, T + dt.timedelta(days=2, hours=-1)), (21, T + dt.timedelta(days=2))]]
+    files = set()
+    for n, rows in enumerate(batches):
+        batch = spark.createDataFrame(rows, "id bigint, ts timestamp")
+        store.append(batch, n)
+        now = {str(p.relative_to(tmp_path)) for p in (tmp_path / "rows").rglob("*.parquet")}
+        if n == 1:
+            assert all(f in files or "batch=1" in f for f in now) and not any("day=2024-03-01" in f for f in now)
+        files = now
+    store.append(spark.createDataFrame(batches[2], "id bigint, ts timestamp"), 2)  # the last batch again
+    assert sorted(r.id for r in store.read().collect()) == [2, 3, 4, 10, 21]
+
+
+def test_syncs_lose_and_repeat_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    src = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+
+    def add(lo, hi):
+        spark.range(lo, hi).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def broken(batch, number):
+        X.to_changes(out)(batch, number)
+        if number == 1:
+            raise InterruptedError
+
+    add(0, 10)
+    X.sync(src, str(tmp_path / "state"), X.to_changes(out))
+    add(10, 30)
+    add(30, 35)
+    with pytest.raises(StreamingQueryException):
+        X.sync(src, str(tmp_path / "state"), broken)
+    add(35, 40)
+    X.sync(src, str(tmp_path / "state"), X.to_changes(out))
+    X.sync(src, str(tmp_path / "state"), X.to_changes(out))
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(40))
 
 
 def test_topk_equals_brute_force(spark):
