@@ -373,13 +373,27 @@ def post_ids(spark, sf):
     return posts(spark, sf).select("id", T.post_id(link, F.col("text")).alias("post_id"))
 
 
-@query("stored_posts", f"WITH {POSTS} SELECT CASE WHEN id % 2 = 0 THEN CAST(id AS VARCHAR) ELSE 'hash_' || sha256(text) END AS id, count(*) AS posts FROM posts WHERE {RELEVANT} GROUP BY 1")
+# each post is delivered twice, at times of its own; which delivery is the newer one depends on the id
+SEEN = "TIMESTAMP '2024-03-15 10:00:00' + INTERVAL 1 SECOND * (id % 1000) * (CASE n WHEN 0 THEN 7 ELSE id % 3 * 5 END)"
+
+
+@query("stored_posts", f"WITH {POSTS}, two AS (SELECT *, {SEEN} AS ts FROM posts, (VALUES (0), (1)) v(n)), "
+       f"named AS (SELECT CASE WHEN id % 2 = 0 THEN CAST(id AS VARCHAR) ELSE 'hash_' || sha256(text) END AS id, ts, text, "
+       f"{case_of(L.POST_TYPES, chr(39) + L.POST_TYPE_DEFAULT + chr(39))} AS property_type, "
+       f"{case_of([(p.split('|'), k) for p, k in L.POST_TRANSACTIONS], chr(39) + 'unknown' + chr(39))} AS transaction_type, "
+       f"CASE WHEN {any_of(L.POST_HOODS)} THEN 'София' ELSE {case_of([([c], c) for c in L.POST_CITIES])} END AS city FROM two WHERE {RELEVANT}) "
+       "SELECT id, min(sha256(text)) AS text_sha256, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts, min(property_type) AS property_type, "
+       "min(transaction_type) AS transaction_type, min(city) AS city FROM (SELECT *, rank() OVER (PARTITION BY id ORDER BY ts DESC) AS newest FROM named) "
+       "WHERE newest = 1 GROUP BY id")
 def stored_posts(spark, sf):
-    """The whole post job: classified, named, kept once; every post is delivered twice."""
-    rows = posts(spark, sf).withColumns({"link": F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://x/groups/1/posts/"), F.col("id").cast("string"))),
-                                         "ts": F.lit(S.NOW).cast("timestamp")}).drop("id")
-    out = W.stored_posts(rows.unionByName(rows))
-    return out.groupBy("id").agg(F.count("*").alias("posts"))
+    """The whole post job: classified, named, the newest delivery of each kept."""
+    seconds = (F.col("id") % 1000) * F.when(F.col("n") == 0, 7).otherwise(F.col("id") % 3 * 5)
+    two = posts(spark, sf).withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+        "ts", F.timestamp_seconds(F.unix_timestamp(F.lit("2024-03-15 10:00:00").cast("timestamp")) + seconds))
+    linked = F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://x/groups/1/posts/"), F.col("id").cast("string")))
+    out = W.stored_posts(two.withColumn("link", linked).drop("id", "n"))
+    return out.select("id", F.sha2("text", 256).alias("text_sha256"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"),
+                      "property_type", "transaction_type", F.col("location.city").alias("city"))
 
 
 # ---------------------------------------------------------------- given pages with many cards in them

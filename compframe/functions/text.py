@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 from compframe import lookups as L
@@ -156,35 +158,27 @@ def thousands_number(c: Column | str) -> Column:
     return F.replace(as_col(c), F.lit(","), F.lit("")).try_cast("double")
 
 
-# Named entities of stored pages; the ampersand comes last, so that nothing is decoded twice.
-_ENTITIES = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&euro;", "€"),
-             ("&sup2;", "²"), ("&sup3;", "³"), ("&frac14;", "¼"), ("&frac12;", "½"), ("&frac34;", "¾"), ("&deg;", "°"),
-             ("&laquo;", "«"), ("&raquo;", "»"), ("&bdquo;", "„"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&lsquo;", "‘"),
-             ("&rsquo;", "’"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&middot;", "·"), ("&bull;", "•"),
-             ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&times;", "×"), ("&amp;", "&")]
+# Named character references, from the table of Python's html module; frequent ones first, since a constant map is searched in order.
+_COMMON = ["nbsp", "amp", "quot", "lt", "gt", "euro", "sup2", "ndash", "mdash", "bdquo", "ldquo", "rdquo", "laquo", "raquo", "deg", "hellip", "bull"]
+ENTITIES = {name: html5[f"{name};"] for name in [*_COMMON, *sorted(n[:-1] for n in html5 if n.endswith(";") and n[:-1] not in _COMMON)]}
+
 
+def unescape(c: Column | str) -> Column:
+    """Character references decoded once, numeric and named ones in the same pass. Unknown ones stay; text without any is left alone."""
+    table = constant(ENTITIES, "map<string,string>")
 
-def _numeric_entities(c: Column) -> Column:
-    """Decimal and hexadecimal character references; those of no character stay as they are."""
     def one(part: Column) -> Column:
-        digits, hexed = F.regexp_extract(part, r"^(\d{1,7});", 1), F.regexp_extract(part, r"^[xX]([0-9a-fA-F]{1,6});", 1)
+        digits, hexed = F.regexp_extract(part, r"^#(\d{1,7});", 1), F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]{1,6});", 1)
         code = F.coalesce(digits.try_cast("bigint"), F.conv(blank_to_null(hexed), 16, 10).try_cast("bigint"))
         good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(good, F.concat(char, F.regexp_replace(part, r"^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), part))
-
-    def joined(parts: Column) -> Column:
-        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
-
-    return F.when(F.contains(c, F.lit("&#")), let(F.split(c, "&#"), joined)).otherwise(c)
-
-
-def unescape(c: Column | str) -> Column:
-    """Character references decoded once: numeric ones and the common named ones. Text without any is left alone."""
-    named = constant([{"entity": e, "char": x} for e, x in _ENTITIES], "array<struct<entity:string,char:string>>")
+        numeric = F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        named = F.try_element_at(table, F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1))
+        char = F.when(F.startswith(part, F.lit("#")), numeric).otherwise(named)
+        return let(char, lambda x: F.coalesce(F.concat(x, F.regexp_replace(part, r"^[^;]*;", "")), F.concat(F.lit("&"), part)))
 
     def decoded(t: Column) -> Column:
-        return F.aggregate(named, _numeric_entities(t), lambda acc, e: F.replace(acc, e["entity"], e["char"]))
+        return let(F.split(t, "&"), lambda parts: F.concat(
+            F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), "")))
 
     return let(as_col(c), lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
 

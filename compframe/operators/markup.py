@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from compframe.functions import text as T
-from compframe.functions.core import strip
+from compframe.functions.core import let, strip
 
 ANCHOR = r'(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
 
@@ -36,14 +36,55 @@ def flat_text(html: Column) -> Column:
     return T.unescape(F.regexp_replace(no_scripts(html), r"<[^>]+>", ""))
 
 
+def _element(source: Column) -> Column:
+    """The element that ``source`` begins with, by the depth of its own tag: (text, closed).
+
+    The source is cut before every opening and closing tag of that name; a running sum over them finds the closing
+    tag that brings the depth back to nothing.
+    """
+    tag = F.regexp_extract(source, r"^<([a-zA-Z]+)", 1)
+    pieces = F.split(source, F.concat(F.lit("(?is)(?=</?"), tag, F.lit(r"\b)")))
+
+    def step(acc: Column, piece: Column) -> Column:
+        depth = acc["depth"] + F.when(F.startswith(piece, F.lit("</")), -1).otherwise(1)
+        at = acc["at"] + 1
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when((acc["end"] == 0) & (depth == 0), at).otherwise(acc["end"]).alias("end"))
+
+    def cut(p: Column) -> Column:
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+        return let(F.aggregate(p, start, step)["end"], lambda end: F.struct(
+            F.when(end > 0, F.concat(F.array_join(F.slice(p, 1, F.greatest(end - 1, F.lit(0))), ""),
+                                     F.regexp_extract(F.get(p, end - 1), r"^</[^>]*>?", 0))).alias("text"),
+            (end > 0).alias("closed")))
+
+    return let(pieces, cut)
+
+
+def _balanced(html: Column, card: Column) -> Column:
+    """Whether the page closes the card's tag as often as it opens it."""
+    tag = F.regexp_extract(card, r"^<([a-zA-Z]+)", 1)
+    return F.size(F.split(html, F.concat(F.lit("(?is)</"), tag, F.lit(r"\b")))) >= F.size(F.split(html, F.concat(F.lit("(?is)<"), tag, F.lit(r"\b"))))
+
+
 def segments(html: Column, opening: str, whole_page: bool) -> Column:
-    """Page cut before every tag that matches ``opening``; what precedes the first is dropped.
+    """Elements whose opening tag matches ``opening``, in page order, each with all that is inside it and nothing else.
 
-    Without any such tag the result is the whole page or nothing.
+    A card inside another one is an element of its own and part of the outer one. Where a page does not close its cards,
+    a card ends at the next opening. Without any such tag the result is the whole page or nothing.
     """
-    parts = F.split(html, f"(?is)(?={opening})")
-    cards = F.filter(parts, lambda p: p.rlike(f"(?is)^(?:{opening})"))
-    return F.when(F.size(cards) > 0, cards).otherwise(F.array(html)) if whole_page else cards
+    def cards(parts: Column) -> Column:
+        def card(part: Column, i: Column) -> Column:
+            def whole(own: Column) -> Column:
+                # not closed before the next card: the element holds other cards
+                outer = _element(F.array_join(F.slice(parts, i + 1, F.size(parts)), ""))["text"]
+                return F.when(own["closed"], own["text"]).when(_balanced(html, part), F.coalesce(outer, part)).otherwise(part)
+
+            return F.when(part.rlike(f"(?is)^(?:{opening})"), let(_element(part), whole))
+
+        return F.array_compact(F.transform(parts, card))
+
+    found = let(F.split(html, f"(?is)(?={opening})"), cards)
+    return let(found, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(html))) if whole_page else found
 
 
 def element_text(html: Column, pattern: str) -> Column:

@@ -87,3 +87,41 @@ def test_code_pages(spark):
 def test_newest_needs_a_number(spark):
     with pytest.raises(TypeError):
         newest(spark.range(1))
+
+
+OPEN = '<div class="card'
+
+
+@pytest.mark.parametrize("html, want", [
+    # text behind, between and before cards belongs to none
+    ('70 000 € <div class="card">65 кв.м</div> 80 000 € <div class="card">90 000 €</div> 44 кв.м', ["65 кв.м", "90 000 €"]),
+    # elements inside, nested ones of the same name included
+    ('<div class="card"><div><p>a<div>b</div></p></div>c</div>d</div>', ["abc"]),
+    # a card inside a card is both its own and the outer one's
+    ('<div class="card">a<div class="card">b</div>c</div>d<DIV class="card">e</DIV>', ["abc", "b", "e"]),
+    # other names that begin alike, and upper case
+    ('<div class="card">a<divider>b</divider></DIV>c', ["ab"]),
+    # a page that closes nothing: up to the next card
+    ('<div class="card">a<div class="card">b', ["a", "b"]),
+    ('<p>no card</p>', []), ('', []), (None, None)])
+def test_a_card_ends_with_its_element(spark, html, want):
+    from compframe.operators import markup as H
+    df = spark.createDataFrame([(html,)], "html string")
+    cards = df.select(H.segments(F.col("html"), OPEN, whole_page=False).alias("c")).select(F.transform("c", H.flat_text).alias("t")).first().t
+    assert cards == want
+
+
+def test_a_footer_gives_no_advert(spark):
+    html = '<div class="listtop-item-params">Двустаен 65 кв.м</div><footer>Цена: 90 000 €</footer>'
+    assert X.extract_param_cards(page(spark, html)).count() == 0
+    inside = html.replace("</div>", "<div>Цена: 90 000 €</div></div>")
+    assert [(r.size_sqm, r.price_eur) for r in X.extract_param_cards(page(spark, inside)).collect()] == [(65.0, 90000.0)]
+
+
+@pytest.mark.parametrize("text", [
+    "a&nbsp;b", "&Agrave;&yuml;&hearts;", "&amp;lt; &#38;nbsp; &amp;amp;", "&#8364; &#x20AC; &#X41;", "&zzz; & &; &&amp;&", "no reference", "",
+    "&acE;&lt;tag&gt;&CounterClockwiseContourIntegral;"])
+def test_references_are_decoded_once(spark, text):
+    import html
+    got = spark.createDataFrame([(text,)], "t string").select(T.unescape("t")).first()[0]
+    assert got == html.unescape(text)
