@@ -8,6 +8,7 @@ from compframe.functions import price as P
 from compframe.functions.core import round_exact
 from compframe.functions import time as D
 from compframe.operators.filters import has_market
+from compframe.session import staged
 
 
 def top_per_group(df: DataFrame, keys: list[Column | str], order: list[Column], k: int,
@@ -71,9 +72,36 @@ def user_order(sort: str) -> list[Column]:
     return [orders[sort]]
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Rows with their number (from 1) in their group, in the given order, which must leave no ties.
+
+    The table is sorted once, by ranges of (keys, order); a row's number is its place in the range plus what earlier
+    ranges hold of its group. No task sorts a group, however large.
+    """
+    by = [*[F.col(k) for k in keys], *order]
+    rows = staged(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33).alias("_part")  # the id has the range above the place in it
+    runs = rows.groupBy(part, *keys).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(F.col("_part").alias("_run"), *[F.col(k).alias(f"_run_{k}") for k in keys],
+                       (F.coalesce(earlier, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    same = F.shiftright("_at", 33) == F.col("_run")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_run_{k}"))
+    return rows.join(runs, same).withColumn(name, F.col("_at") + F.col("_shift")).select(*df.columns, name)
+
+
+#: Rows up to which a page is cut from the first rows of the whole; deeper pages number all rows.
+SHALLOW = 10_000
+
+
 def page(ordered: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """Rows of one page. Only the pages up to this one are kept while sorting."""
-    return ordered.orderBy(*order).limit(number * size).offset((number - 1) * size)
+    """Rows of one page. Early pages keep only the rows up to them while sorting; for a deep one the rows are numbered
+    range by range, and its own are picked."""
+    if number * size <= SHALLOW:
+        return ordered.orderBy(*order).limit(number * size).offset((number - 1) * size)
+    nth = F.col("_nth")
+    return numbered(ordered, [], order, "_nth").where((nth > (number - 1) * size) & (nth <= number * size)).drop("_nth").orderBy(*order)
 
 
 def cheapest(auctions: DataFrame, max_price: float, k: int = 20) -> DataFrame:

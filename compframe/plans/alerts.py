@@ -31,25 +31,27 @@ def verified(subscribers: DataFrame) -> DataFrame:
 def match_alerts(deals: DataFrame, subscribers: DataFrame, limit: int = ALERT_LIMIT) -> DataFrame:
     """First ``limit`` unsent deals of every verified subscriber, in published order.
 
-    Published order falls with the discount, so the deals that pass a threshold are a
-    prefix of it, and the first unsent ones lie within ``limit`` + (length of the sent
-    list) rows of a town's prefix. Subscribers therefore meet only those short lists, one
-    per town and one for "any town", never all deals.
+    Published order falls with the discount, so the deals that pass a threshold are a prefix of it. Deals are numbered
+    once in every town and in all; sent ids become numbers, and from them follows by counting which numbers are a
+    subscriber's first unsent ones. These are looked up, ``limit`` a town: nobody meets a list, and no list is cut for all
+    by the longest history.
     """
     subs = verified(subscribers)
-    longest = subs.agg(F.max(F.size("sent"))).first()[0] or 0
-    order = ranking.publish_order()
-    known = deals.where(F.col("discount") > 0)
-    per_town = ranking.top_per_group(known, ["city"], order, limit + longest)
-    anywhere = per_town.orderBy(*order).limit(limit + longest).withColumn("city", F.lit(ANY_CITY))
-    lists = per_town.unionByName(anywhere).select(
-        F.col("city").alias("want"), F.col("id").alias("deal_id"), "discount", "price", "price_eur")
+    known = deals.where(F.col("discount") > 0).withColumn("want", F.explode(F.array(F.col("city"), F.lit(ANY_CITY)))).select(
+        "want", F.col("id").alias("deal_id"), "id", "discount", "price", "price_eur")
+    lists = ranking.numbered(known, ["want"], ranking.publish_order(), "nth").drop("id")
 
     wants = F.when(F.size("cities") > 0, F.array_distinct("cities")).otherwise(F.array(F.lit(ANY_CITY)))
-    hits = (
-        subs.withColumn("want", F.explode(wants)).join(lists, "want")
-        .where((F.col("discount") >= F.col("min_discount")) & ~F.array_contains("sent", F.col("deal_id")))
-    )
+    asks = subs.withColumn("want", F.explode(wants))
+    sent = asks.select("id", "want", F.explode(F.array_distinct("sent")).alias("deal_id")).join(lists.select("want", "deal_id", "nth"), ["want", "deal_id"])
+    # the i-th sent number puts off the end of the first unsent ones if fewer than ``limit`` unsent stand before it
+    i = F.row_number().over(Window.partitionBy("id", "want").orderBy("nth"))
+    gone = sent.withColumn("unsent", F.col("nth") - i).groupBy("id", "want").agg(
+        F.count_if(F.col("unsent") < limit).alias("skipped"), F.collect_set("nth").alias("gone"))
+    numbers = F.array_except(F.sequence(F.lit(1).cast("bigint"), F.lit(limit) + F.coalesce("skipped", F.lit(0).cast("bigint"))),
+                             F.coalesce("gone", F.array().cast("array<bigint>")))
+    hits = (asks.select("id", "want", "min_discount").join(gone, ["id", "want"], "left").select("id", "want", "min_discount", F.explode(numbers).alias("nth"))
+            .join(lists, ["want", "nth"]).where(F.col("discount") >= F.col("min_discount")))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(
         F.col("discount").desc(), F.col("price").asc(), F.col("price_eur").asc(),
         F.col("deal_id").cast("bigint").asc()))

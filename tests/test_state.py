@@ -1,6 +1,7 @@
 """Keyed state, bursts, top-k and streams against brute force."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -12,7 +13,9 @@ from compframe.catalog import standin as S
 from compframe.catalog import streams
 from compframe.config import AppraisalConfig
 from compframe.operators import incremental as I
+from compframe.operators import joins as J
 from compframe.operators import nearest as N
+from compframe.operators import ranking as R
 from compframe.operators.bursts import burst_filter
 from compframe.operators.ranking import keep_latest
 from compframe.plans import alerts as A
@@ -165,6 +168,27 @@ def test_topk_equals_brute_force(spark):
     hoods, types, sizes = ["кв. Изток", "Изток", "Бояна", None], ["1-стаен", "2-стаен", None], [None, 40.0, 45.0, 50.0, 52.0, 70.0]
     subj = [(i, rnd.choice(["София", "СОФИЯ", "Русе"]), rnd.choice(hoods), rnd.choice(types), rnd.choice(sizes), 50000.0) for i in range(40)]
     market = [(rnd.choice(["София", "София", "Русе"]), rnd.choice(hoods), rnd.choice(types), rnd.choice(sizes), float(rnd.randint(20, 90)) * 1000, f"u{j}") for j in range(400)]
+    assert_topk(spark, subj, market)
+
+
+@pytest.mark.parametrize("types", [["1-стаен"], ["1-стаен", None]])
+def test_topk_in_one_hot_town_of_real_sizes(spark, types):
+    """Every size its own, nearly all rows in one town and district, ranges that cut it anywhere."""
+    rnd = random.Random(19)
+    hoods = ["Изток"] * 12 + ["Бояна", "Люлин", "Банишора", None]
+    subj = [(i, "София", rnd.choice(hoods), rnd.choice(types), rnd.uniform(20, 120), 50000.0) for i in range(150)]
+    market = [(rnd.choice(["София"] * 30 + ["Русе"]), rnd.choice(hoods), rnd.choice(types), rnd.choice([rnd.uniform(20, 120), 60.0, None]),
+               float(rnd.randint(20, 90)) * 1000, f"u{j}") for j in range(1500)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        assert_topk(spark, subj, market)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def assert_topk(spark, subj, market):
     s = spark.createDataFrame(subj, "id int, city string, neighborhood string, property_type string, size_sqm double, price_eur double")
     m = spark.createDataFrame(market, "city string, neighborhood string, property_type string, size_sqm double, price_eur double, url string")
     cfg = AppraisalConfig(size_tolerance_pct=20.0, max_results=7)
@@ -208,3 +232,72 @@ def test_unknown_order_is_refused():
         similar_hoods(None, None, 0.4)
 
 
+
+
+def test_numbers_in_groups_of_any_size(spark):
+    rnd = random.Random(21)
+    rows = [(i, rnd.choice(["hot"] * 8 + ["a", None]), rnd.random()) for i in range(900)]
+    df = spark.createDataFrame(rows, "id bigint, k string, x double").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.id: r.nth for r in R.numbered(df, ["k"], [F.col("x").desc(), F.col("id").asc()], "nth").collect()}
+        flat = {r.id: r.nth for r in R.numbered(df, [], [F.col("x").asc()], "nth").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for k in ("hot", "a", None):
+        assert [got[i] for i, g, x in sorted(rows, key=lambda r: (-r[2], r[0])) if g == k] == list(range(1, sum(r[1] == k for r in rows) + 1))
+    assert [flat[i] for i, _, x in sorted(rows, key=lambda r: r[2])] == list(range(1, 901))
+
+
+def test_deep_pages_are_those_of_the_whole_order(spark, monkeypatch):
+    df = spark.range(1000).withColumn("x", F.xxhash64("id"))
+    order = [F.col("x").desc()]
+    want = [r.id for r in df.orderBy(*order).collect()]
+    monkeypatch.setattr(R, "SHALLOW", 0)
+    assert [r.id for r in R.page(df, order, 7, 12).collect()] == want[72:84]
+    assert [r.id for r in R.page(df, order, 84, 12).collect()] == want[996:] and R.page(df, order, 85, 12).count() == 0
+
+
+def test_alerts_with_long_histories(spark):
+    rnd = random.Random(23)
+    towns = ["София", "Русе", "Варна"]
+    deals = [(str(i), rnd.choice(towns), round(rnd.uniform(-5, 60), 1), rnd.randint(1, 9) * 1000) for i in range(400)]
+    subs = []
+    for i in range(60):
+        want = rnd.choice([[], ["София"], ["Русе", "Варна", "Русе"], ["Атлантида"]])
+        sent = rnd.sample(range(400), rnd.choice([0, 3, 40, 300])) + [99999]
+        subs.append((i, json.dumps(want, ensure_ascii=False), rnd.choice([0, 10, 30, None]), i % 7 != 0, json.dumps([str(x) for x in sent])))
+    d = spark.createDataFrame(deals, "id string, city string, discount double, price bigint").withColumns(
+        {"price_eur": F.col("price").cast("double"), "partial_ownership": F.lit(None).cast("string")})
+    s = spark.createDataFrame(subs, "id bigint, cities_json string, min_discount int, verified boolean, last_deal_ids_json string")
+    got = {}
+    for r in A.match_alerts(d, s).collect():
+        got.setdefault(r.subscriber_id, {})[r.rank] = r.deal_id
+    order = sorted((x for x in deals if x[2] > 0), key=lambda x: (-x[2], x[3], int(x[0])))
+    want = {}
+    for i, cities, least, ok, sent in subs:
+        mine = [x[0] for x in order if ok and (not json.loads(cities) or x[1] in json.loads(cities)) and x[2] >= (least or 20) and x[0] not in json.loads(sent)]
+        if mine:
+            want[i] = dict(enumerate(mine[:10], 1))
+    assert got == want
+
+
+@pytest.mark.parametrize("pairs", [0, 10**9])
+def test_rules_equal_brute_force(spark, monkeypatch, pairs):
+    monkeypatch.setattr(J, "PAIRS", pairs)
+    rnd = random.Random(25)
+    words = ["изток", "Люлин", "люлин 7", "море", "о", "няма такава"]
+    deals = [(rnd.choice(["София", "Русе", None]), rnd.choice([None, 5000.0, 5000.01, 77000.5, 600000.0, 9e6]), rnd.choice([None, "", "кв. Изток", "Люлин 7 море", "Морето"]))
+             for _ in range(300)]
+    rules = [(i, rnd.choice([None, "София", "Русе", "Лом"]), rnd.choice([None, 5000.0, 70000.0]), rnd.choice([None, 5000.0, 600000.0, 1.0]),
+              rnd.choice([None, [], rnd.sample(words, rnd.randint(1, 3))]), i % 9 != 0) for i in range(120)]
+    d = spark.createDataFrame(deals, "city string, price double, text string").repartition(5)
+    r = spark.createDataFrame(rules, "user_id bigint, city string, min_price double, max_price double, keywords array<string>, active boolean")
+    got = {x.user_id: (x.deals, x.cheapest) for x in J.rule_summary(r, d).collect()}
+    want = {}
+    for user, city, lo, hi, words, active in rules:
+        hits = [p for c, p, t in deals if active and p is not None and city in (None, c) and (lo is None or p >= lo) and (hi is None or p <= hi)
+                and all(w.lower() in (t or "").lower() for w in words or [])]
+        if hits:
+            want[user] = (len(hits), min(hits))
+    assert got == want
