@@ -1,4 +1,4 @@
-"""Every registered query with check SQL against DuckDB, on the smallest tables."""
+"""Every query of the catalog with check SQL against DuckDB, on the smallest tables."""
 
 import sys
 from pathlib import Path
@@ -12,8 +12,9 @@ sys.path.insert(0, str(ROOT / "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
 from check import rows_of  # noqa: E402
+from compframe.catalog import load  # noqa: E402
 
-QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
+QUERIES, CHECKS = load()
 
 
 @pytest.fixture(scope="module")
