@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A slice of texts handled at once, in bytes; one longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
@@ -128,3 +129,13 @@ def inside(first: np.ndarray, n_words: int, k: int) -> np.ndarray:
     for cut in first[1:-1]:
         ok[max(cut - k + 1, 0):cut] = False
     return ok
+
+
+def least_hashed(rows: DataFrame, id: str, text: str, n: int) -> DataFrame:
+    """``rows`` whose ids have the ``n`` smallest hashes, wholly equal rows once.
+
+    Numbers are ranked first, ``n`` of them a task; texts are looked up afterwards, so that no task gets those of others.
+    """
+    keys = rows.select(F.xxhash64(id).alias("_h"), F.col(id).alias("_id"), F.xxhash64(text).alias("_tag")).orderBy("_h", "_id", "_tag").limit(n)
+    same = rows[id].eqNullSafe(F.col("_id")) & (F.xxhash64(rows[text]) == F.col("_tag"))
+    return rows.join(F.broadcast(keys.select("_id", "_tag").distinct()), same, "left_semi").dropDuplicates([id, text])
