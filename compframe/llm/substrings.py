@@ -136,10 +136,10 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def claims(rows: DataFrame) -> DataFrame:
-    """(h1, h2, id, place, n) for (id, tag, text, keys): a window per row with n = 0, to be compared with those of other slices.
+    """(h1, h2, id, tag, place, n) for (id, tag, text, keys): a window per row with n = 0, to be compared with those of other slices.
 
     Rows with n > 0 are settled: n places from ``place`` on begin windows that stand earlier in this slice.
-    ``place`` is the start of the window with the tag above it.
+    ``place`` is the start of the window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,61 +162,54 @@ def claims(rows: DataFrame) -> DataFrame:
             h1, h2 = (window_hashes(w.hash, WINDOW, base)[at] for base in (BASE, BASE_2))
             ids = b.column(0).to_numpy(zero_copy_only=False)[of[at]]
             tags = b.column(1).to_numpy(zero_copy_only=False)[of[at]]
-            place = (tags << 32) | (at - w.first[of[at]])
-            order = np.lexsort((place, ids, h2, h1))
-            h1, h2, ids, place = h1[order], h2[order], ids[order], place[order]
+            place = at - w.first[of[at]]
+            order = np.lexsort((place, tags, ids, h2, h1))
+            h1, h2, ids, tags, place = h1[order], h2[order], ids[order], tags[order], place[order]
             first = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
             lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-            later = (ids != ids[lead]) | (place != place[lead])
-            yield _rows(h1[first], h2[first], ids[first], place[first], np.zeros(int(first.sum()), np.int64))
-            yield _rows(*_runs(ids[later], place[later]))
+            later = (ids != ids[lead]) | (tags != tags[lead]) | (place != place[lead])
+            yield _rows(h1[first], h2[first], ids[first], tags[first], place[first], np.zeros(int(first.sum()), np.int64))
+            yield _rows(*_runs(ids[later], tags[later], place[later]))
 
-    return rows.mapInArrow(run, "h1 long, h2 long, id long, place long, n long")
+    return rows.mapInArrow(run, "h1 long, h2 long, id long, tag long, place long, n long")
 
 
 def pc_len(column: pa.Array) -> np.ndarray:
     return np.diff(column.offsets.to_numpy())
 
 
-def _rows(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, place: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([_longs(h1), _longs(h2), pa.array(ids, pa.int64()), pa.array(place, pa.int64()), pa.array(n, pa.int64())],
-                           ["h1", "h2", "id", "place", "n"])
+def _rows(h1: np.ndarray, h2: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([_longs(h1), _longs(h2), *(pa.array(x, pa.int64()) for x in rest)], ["h1", "h2", "id", "tag", "place", "n"])
 
 
-def _runs(ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+def _runs(ids: np.ndarray, tags: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
     """Consecutive places of a document as one row."""
-    order = np.lexsort((place, ids))
-    ids, place = ids[order], place[order]
-    first = np.concatenate(([True], (ids[1:] != ids[:-1]) | (place[1:] > place[:-1] + 1))) if len(ids) else np.zeros(0, bool)
-    at = np.flatnonzero(first)
+    order = np.lexsort((place, tags, ids))
+    ids, tags, place = ids[order], tags[order], place[order]
+    same = (ids[1:] == ids[:-1]) & (tags[1:] == tags[:-1]) & (place[1:] <= place[:-1] + 1)
+    at = np.flatnonzero(np.concatenate(([True], ~same))) if len(ids) else np.zeros(0, np.int64)
     n = place[np.append(at[1:], len(ids)) - 1] - place[at] + 1 if len(at) else np.zeros(0, np.int64)
-    ids, place = ids[at], place[at]
-    return mix(ids.astype(np.int64).view(np.uint64)), mix(place.view(np.uint64)), ids, place, n
+    ids, tags, place = ids[at], tags[at], place[at]
+    return mix(ids.astype(np.int64).view(np.uint64)), mix((place + tags).view(np.uint64)), ids, tags, place, n
 
 
 def _earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (h1, h2, id, place): runs of places whose window has an earlier row. Settled rows pass."""
+    """From rows sorted by (h1, h2, id, tag, place): runs of places whose window has an earlier row. Settled rows pass."""
     last = None  # hashes and place of the first row of the open run
     for b in batches:
-        h1, h2, ids, place, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        h1, h2, *row, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
         settled = n > 0
-        out_ids, out_place, out_n = [ids[settled]], [place[settled]], [n[settled]]
-        h1, h2, ids, place = (x[~settled] for x in (h1, h2, ids, place))
+        out = [[*(x[settled] for x in row), n[settled]]]
+        h1, h2, *row = (x[~settled] for x in (h1, h2, *row))
         if len(h1):
             begin = np.concatenate(([last is None or (h1[0], h2[0]) != last[:2]], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
             starts = np.flatnonzero(begin)
             run = np.cumsum(begin)
-            lead_id = np.concatenate(([last[2] if last else 0], ids[starts]))[run]
-            lead_place = np.concatenate(([last[3] if last else 0], place[starts]))[run]
-            later = (ids != lead_id) | (place != lead_place)
-            _, _, a, p, m = _runs(ids[later], place[later])
-            out_ids.append(a)
-            out_place.append(p)
-            out_n.append(m)
-            last = (h1[-1], h2[-1], lead_id[-1], lead_place[-1])
-        ids, place, n = np.concatenate(out_ids), np.concatenate(out_place), np.concatenate(out_n)
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(place >> 32, pa.int64()), pa.array(place & 0xFFFFFFFF, pa.int64()),
-                               pa.array(n, pa.int64())], ["id", "tag", "start", "n"])
+            lead = [np.concatenate(([last[2 + i] if last else 0], x[starts]))[run] for i, x in enumerate(row)]
+            later = np.any([x != y for x, y in zip(row, lead, strict=True)], axis=0)
+            out.append(_runs(*(x[later] for x in row))[2:])
+            last = (h1[-1], h2[-1], *(x[-1] for x in lead))
+        yield pa.record_batch([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], ["id", "tag", "start", "n"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,9 +232,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, tag, text): id without nulls, and 31 bits of a hash of the text. Nothing else, so that both joins share one shuffle."""
+    """(id, tag, text): id without nulls, and a hash of the text. Nothing else, so that both joins share one shuffle."""
     return docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("id"),
-                       F.shiftrightunsigned(F.xxhash64(F.col(text)), 33).alias("tag"), F.col(text).alias("text"))
+                       F.xxhash64(F.col(text)).alias("tag"), F.col(text).alias("text"))
 
 
 def removals(own: DataFrame) -> DataFrame:
@@ -260,7 +253,7 @@ def removals(own: DataFrame) -> DataFrame:
               .join(firsts.select("sha", F.col("id").alias("i"), F.col("tag").alias("t")), "sha")
               .where("id != i OR tag != t").select("id", "tag", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
     found = (claims(own.join(wanted, ["id", "tag"]).select("id", "tag", "text", "keys"))
-             .repartition("h1", "h2").sortWithinPartitions("h1", "h2", "id", "place").mapInArrow(_earlier, "id long, tag long, start long, n long"))
+             .repartition("h1", "h2").sortWithinPartitions("h1", "h2", "id", "tag", "place").mapInArrow(_earlier, "id long, tag long, start long, n long"))
     spans = found.select("id", "tag", "start", (F.col("start") + F.col("n") + WINDOW - 1).alias("end")).unionByName(copies)
     return spans.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("factors"))
 

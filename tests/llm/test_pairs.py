@@ -46,6 +46,14 @@ def test_banded_distance():
         assert lines.edit_distance(a, b, k) == min(distance(a, b), k + 1), (a, b, k)
 
 
+def test_character_counts_bound_the_distance():
+    rnd = random.Random(3)
+    pairs = [(a, edited(rnd, a, rnd.randrange(6), "abcé😀")) for a in ("".join(rnd.choice("abcd ") for _ in range(rnd.randrange(1, 30))) for _ in range(500))]
+    found = [distance(a, b) for a, b in pairs]
+    bound = [lines.can_be_close([a for a, _ in pairs], [b for _, b in pairs], lines.np.array([d - k for d in found])) for k in (0, 1)]
+    assert bound[0].all() and 0 < bound[1].sum() < len(pairs)
+
+
 def test_close_lines_share_a_key_and_a_sketch():
     rnd = random.Random(2)
     for _ in range(3000):
@@ -215,3 +223,24 @@ def test_substring_edge_cases(edge, nothing, rows):
     assert by[1].n_removed == 0 and by[2].n_removed == by[2].n_words and by[4].n_words == 0 and 0 < by[3].n_removed < by[3].n_words
     assert by[12].n_removed == 0 and max(r.n_words for r in got) == 30_000
     assert substrings.without_repeats(nothing).count() == 0
+
+
+def colliding(make):
+    """Two texts whose hashes (Spark's, seed 42) agree in their upper 31 bits."""
+    seen = {}
+    for i in range(1 << 20):
+        upper = xxhash.xxh64_intdigest(make(i), 42) >> 33
+        if upper in seen:
+            return make(seen[upper]), make(i)
+        seen[upper] = i
+    raise AssertionError
+
+
+def test_rows_without_id_are_told_apart_by_the_whole_hash(spark):
+    """A text that stands once keeps its line although another one without an id, alike in 31 bits, loses its own."""
+    once, twice = colliding(lambda i: f"other line {i} of some text")
+    df = spark.createDataFrame([(None, once), (None, twice), (1, twice)], "doc_id long, text string")
+    assert sorted(r.text for r in lines.without_repeats(df).collect()) == sorted(["", once, twice])
+    once, twice = colliding(lambda i: " ".join(f"w{i}x{j}" for j in range(25)))
+    df = spark.createDataFrame([(None, once), (None, twice), (1, twice)], "doc_id long, text string")
+    assert sorted(r.kept for r in substrings.without_repeats(df).collect()) == sorted(["", once, twice])
