@@ -11,6 +11,8 @@ from compframe.catalog.registry import query
 from compframe.config import AppraisalConfig
 from compframe.operators import nearest as N
 from compframe.plans import appraise as A
+from compframe.session import new_path
+from compframe.sources.writers import write_report
 
 LABEL = ("CASE property_type WHEN 'Едностаен апартамент' THEN '1-стаен' WHEN 'Двустаен апартамент' THEN '2-стаен' "
          "WHEN 'Тристаен апартамент' THEN '3-стаен' WHEN 'Многостаен апартамент' THEN '4+-стаен' END")
@@ -152,3 +154,14 @@ def deal_report(spark, sf):
     return A.report(A.analyze_deals(rows, market(spark, sf)))
 
 
+@query("report_document", f"{SCORED} SELECT (SELECT count(*) FROM scored) AS listings, (SELECT count(*) FROM scored WHERE coalesce(score, 0) >= 3) AS deals_found, "
+       "CAST(row_number() OVER (ORDER BY score DESC, discount_pct DESC, id) - 1 AS INTEGER) AS place, id, city, price_eur, score, discount_pct, comparables_count "
+       "FROM scored WHERE coalesce(score, 0) >= 3 QUALIFY place < 20")
+def report_document(spark, sf):
+    """The report head as written, read back as JSON: counts, and the top deals in their order."""
+    path = f"{new_path(spark, 'report')}"
+    write_report(scored(spark, sf), path)
+    deal = "struct<id:bigint,city:string,price_eur:double,score:int,discount_pct:double,comparables_count:bigint>"
+    read = spark.read.text(f"{path}/report", wholetext=True).select(
+        F.from_json("value", f"listings bigint, deals_found bigint, top_deals array<{deal}>", {"mode": "FAILFAST"}).alias("r"))
+    return read.select("r.listings", "r.deals_found", F.posexplode("r.top_deals").alias("place", "d")).select("listings", "deals_found", "place", "d.*")

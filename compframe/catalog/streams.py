@@ -106,3 +106,25 @@ def stream_retain(spark, sf):
     store = X.DatedStore(spark, f"{out}/rows", "ts")
     X.run_to_end(rows, f"{out}/state", each=store.append)
     return store.read().select("event_id", "user_id")
+
+
+RUN_1, RUN_2 = "2024-03-01 06:00:00", "2024-03-02 06:00:00"
+
+
+@query("stream_snapshots", "SELECT CAST(p_partkey AS BIGINT) AS id, p_retailprice + CASE WHEN p_partkey % 3 = 0 THEN 1000.0 ELSE 0.0 END AS price_eur, "
+       f"p_partkey % 5 = 0 AS is_expired, CASE WHEN p_partkey % 3 = 0 THEN '{RUN_2}' ELSE '{RUN_1}' END AS first_seen_at, "
+       f"CASE WHEN p_partkey % 3 = 0 OR p_partkey % 5 = 0 THEN '{RUN_2}' ELSE '{RUN_1}' END AS last_updated_at "
+       "FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 5 <> 0")
+def stream_snapshots(spark, sf):
+    """Two full snapshots as a stream: new ids come in, missing ones expire, known ones stay."""
+    out = folder(spark, "snapshots")
+    part = S.table(spark, sf, "part").select(F.col("p_partkey").cast("bigint").alias("id"), "p_retailprice")
+    schema = "id bigint, run timestamp, price_eur double, is_expired boolean"
+    for run, gone, more in ((RUN_1, 3, 0.0), (RUN_2, 5, 1000.0)):
+        part.where(F.col("id") % gone != 0).select(
+            "id", F.lit(run).cast("timestamp").alias("run"), (F.col("p_retailprice") + more).alias("price_eur"),
+            F.lit(False).alias("is_expired")).write.mode("append").parquet(f"{out}/in")
+        rows = spark.readStream.schema(schema).parquet(f"{out}/in")
+        X.run_to_end(X.snapshot_stream(rows, ["price_eur"]), f"{out}/state", each=X.to_changes(f"{out}/rows"), mode="update")
+    shown = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_seen_at", "last_updated_at")}
+    return X.current(spark, f"{out}/rows").withColumns(shown).select("id", "price_eur", "is_expired", *shown)

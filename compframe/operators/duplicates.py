@@ -15,8 +15,10 @@ score enough, so nothing is lost and no block of one field alone is ever paired.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
@@ -29,34 +31,77 @@ from compframe.session import staged, staged_together, unstage
 PROFILE = ["district", "property_type", "area_sqm", "price_eur", "floor_text"]
 
 
+def quick_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """Upper bounds of the likeness of many pairs at once, from their numbers of characters of each of 64 classes."""
+    counts, size = [], []
+    for side in (a, b):
+        points = np.frombuffer("".join(side).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = np.fromiter(map(len, side), np.int64, len(side))
+        of = np.repeat(np.arange(len(side)), n)
+        counts.append(np.bincount(of * 64 + points % 64, minlength=len(side) * 64).reshape(-1, 64))
+        size.append(n)
+    return 2 * np.minimum(*counts).sum(axis=1) / np.maximum(sum(size), 1)
+
+
+def _ratio(x: str, y: str) -> float:
+    return SequenceMatcher(None, x, y).ratio()
+
+
 @F.pandas_udf(DoubleType())
 def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Likeness of two texts, 0 if either is empty. The order of the arguments matters."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([_ratio(x, y) if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")
 
 
-def _grams(c: Column) -> Column:
-    """Distinct two-letter pieces."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2))))
+def ratio_above(threshold: float) -> Callable[[Column, Column], Column]:
+    """Likeness of two texts where it is above the threshold, else 0; blocks of one text are matched only for pairs that a
+    bound on the whole batch leaves."""
+    @F.pandas_udf(DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = a.fillna("").tolist(), b.fillna("").tolist()
+        out = np.zeros(len(x))
+        for i in np.flatnonzero(quick_ratios(x, y) > threshold).tolist():
+            out[i] = _ratio(x[i], y[i])
+        return pd.Series(np.where(out > threshold, out, 0.0))
+    return run
 
 
 def similar_texts(values: DataFrame, threshold: float) -> DataFrame:
     """(a, b, ratio) for ordered pairs of distinct texts with ratio above the threshold.
 
-    ``values`` is one column ``v`` of distinct texts. A ratio above 0.8 leaves fewer
-    unmatched letters than matching blocks can be cut by, so two different texts that
-    similar share a piece of two letters; their lengths differ by less than half. Both are
-    used as join keys before the exact ratio is computed.
+    ``values`` is one column ``v`` of distinct texts. The blocks that a ratio r matches are a common subsequence, so of
+    total length T at most (1 - r) T letters are deleted or inserted, and a deletion destroys two pieces of two letters,
+    an insertion one. Hence two texts share so many pieces that some of the rarest of each must be among them: a text is
+    indexed by its pieces, rarest first, as many as there may be others less those that must be shared. A common piece
+    makes pairs only of texts that have little else. Lengths differ by less than half; both are join keys before the
+    exact ratio is computed.
     """
     if threshold < 0.8:
         raise ValueError("two-letter pieces are complete only from 0.8 up")
-    grams = values.where(F.length("v") >= 2).select("v", F.length("v").alias("n"), F.explode(_grams(F.col("v"))).alias("g"))
-    a = grams.select(F.col("v").alias("a"), F.col("n").alias("na"), "g")
-    b = grams.select(F.col("v").alias("b"), F.col("n").alias("nb"), "g")
+    n = F.length("v")
+    letters = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(F.col("v"), i, F.lit(2)))
+    # a piece that comes again is one of its own, numbered
+    pieces = F.transform(F.array_distinct("all"), lambda g: F.struct(g.alias("g"), F.size(F.filter("all", lambda x: x == g)).alias("times")))
+    each = values.where(n >= 2).select("v", n.alias("n"), letters.alias("all")).select("v", "n", F.explode(pieces).alias("p")).select(
+        "v", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("p.times")), lambda k: F.concat(F.col("p.g"), k.cast("string")))).alias("g"))
+    each = staged(each, "text-pieces")
+    rarity = each.groupBy("g").agg(F.count("*").alias("texts"))
+    # with a partner of m letters: T = n + m, fewer than (1 - r) T / 2 + (n - m) / 2 deletions and (1 - r) T / 2 + (m - n) / 2 insertions;
+    # the most pieces are lost to the longest partner there can be or to the shortest one, as the sum is linear in m
+    def lost(m: Column) -> Column:
+        most = F.lit(1 - threshold) * (F.col("n") + m) / 2
+        return 2 * (most + (F.col("n") - m) / 2) + most + (m - F.col("n")) / 2
+
+    far = F.col("n") * threshold / (2 - threshold), F.col("n") * (2 - threshold) / threshold
+    keep = F.least(F.col("n") - 1, F.floor(F.greatest(lost(far[0]), lost(far[1]))).cast("int") + 1)
+    order = Window.partitionBy("v").orderBy("texts", "g")
+    index = each.join(rarity, "g").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= keep).select("v", "n", "g")
+    a = index.select(F.col("v").alias("a"), F.col("n").alias("na"), "g")
+    b = index.select(F.col("v").alias("b"), F.col("n").alias("nb"), "g")
     total = F.col("na") + F.col("nb")
     fits = 2.0 * F.least("na", "nb") / total > threshold
     pairs = a.join(b, "g").where((F.col("a") != F.col("b")) & fits).select("a", "b").distinct()
-    scored = pairs.select("a", "b", text_ratio("a", "b").alias("ratio")).where(F.col("ratio") > threshold)
+    scored = pairs.select("a", "b", ratio_above(threshold)("a", "b").alias("ratio")).where(F.col("ratio") > threshold)
     same = values.where(F.col("v") != "").select(F.col("v").alias("a"), F.col("v").alias("b"), F.lit(1.0).alias("ratio"))
     return scored.unionByName(same)
 

@@ -80,3 +80,22 @@ def test_similar_texts_lose_nothing(spark):
 def test_the_one_sum_below_the_threshold(spark):
     rows = [(1, "a", "lozenets", "x", 100.0, 100000.0, None), (2, "b", "lozenets", "y", 91.0, 99000.0, None)]
     assert D.duplicate_profiles(spark.createDataFrame(rows, FIELDS)).count() == 0
+
+
+def test_similar_texts_lose_no_pair(spark):
+    """Against the ratio of all ordered pairs, with a piece that nearly all texts share."""
+    rnd = random.Random(31)
+    base = ["".join(rnd.choice("abcde ") for _ in range(rnd.randrange(2, 26))) for _ in range(40)]
+    texts = set(base) | {"", "a", "ab", "aaaa", "aaaaa", "aaaaaa"}
+    for t in base:
+        for _ in range(3):
+            u = list(t)
+            for _ in range(rnd.randrange(1, 4)):
+                i = rnd.randrange(len(u) + 1)
+                u[i:i + rnd.randrange(2)] = rnd.choice(["", "a", "x", "ab"])
+            texts.add("".join(u))
+    texts = sorted(texts) + [f"rayon {t}" for t in base]
+    texts = sorted(set(texts))
+    for threshold in (0.8, 0.85):
+        got = {(r.a, r.b): r.ratio for r in D.similar_texts(spark.createDataFrame([(t,) for t in texts], "v string"), threshold).collect()}
+        assert got == {(a, b): ratio(a, b) for a in texts for b in texts if ratio(a, b) > threshold}
