@@ -99,3 +99,15 @@ def test_similar_texts_lose_no_pair(spark):
     for threshold in (0.8, 0.85):
         got = {(r.a, r.b): r.ratio for r in D.similar_texts(spark.createDataFrame([(t,) for t in texts], "v string"), threshold).collect()}
         assert got == {(a, b): ratio(a, b) for a in texts for b in texts if ratio(a, b) > threshold}
+
+
+def crowd(n):
+    return [(i, "abc"[i % 3], "lozenets", "dvustaen", 60.0 + i % 40 / 100, 100000.0 + i, None) for i in range(n)]
+
+
+def test_matches_are_neither_stored_nor_repeated(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(D, "staged", lambda df, name, own=D.staged: stored.append(name) or own(df, name))
+    got = D.duplicate_profiles(spark.createDataFrame(crowd(60), FIELDS)).select("pid_a", "pid_b").collect()
+    assert "profile-pairs" not in stored
+    assert len(got) == len(set(got)) == sum(a[1] != b[1] for i, a in enumerate(crowd(60)) for b in crowd(60)[i + 1:])
