@@ -14,6 +14,7 @@ score enough, so nothing is lost and no block of one field alone is ever paired.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 from difflib import SequenceMatcher
@@ -25,7 +26,6 @@ from pyspark.sql.types import DoubleType
 
 from compframe.config import DuplicateConfig
 from compframe.functions import price as P
-from compframe.operators.ranking import top_per_group
 from compframe.session import staged, staged_together, unstage
 
 PROFILE = ["district", "property_type", "area_sqm", "price_eur", "floor_text"]
@@ -215,10 +215,7 @@ def possible_pairs(rows: DataFrame, districts: DataFrame, kinds: DataFrame, cfg:
     same = rows.where("other_first_id IS NOT NULL").select(F.col("pid").alias("pid_a"), F.col("pid").alias("pid_b"), x.alias("a"), x.alias("b"))
     parts = [scored(block("dts")), scored(block("dtp").where(~near)), unlike(scored(block("dsp")), kinds, "property_type"),
              unlike(scored(block("tsp")), districts, "district"), scored(same.withColumns(self_ratio))]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return _all_of(parts)
 
 
 def floor_likeness(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -324,26 +321,182 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
+def least_rules(cfg: DuplicateConfig) -> list[dict[str, float | bool]]:
+    """What must be alike for a match, nothing more: texts by d, t, f, and how far area s and price p may be apart."""
+    levels = {"d": [True], "t": [True], "s": [cfg.area_near, cfg.area_far], "p": [cfg.price_near, cfg.price_far], "f": [True]}
+    found: list[dict[str, float | bool]] = []
+    for chosen in itertools.product(*[[None, *reversed(v)] for v in levels.values()]):
+        rule = {f: v for f, v in zip(levels, chosen, strict=True) if v is not None}
+        got = 0.0
+        for f, v in zip(levels, chosen, strict=True):
+            w = WEIGHTS[f]
+            got += 0.0 if v is None else w if isinstance(w, float) else w[levels[f].index(v)]
+        if got >= cfg.min_confidence:
+            found.append(rule)
+
+    def covers(r: dict, q: dict) -> bool:
+        return r != q and all(f in q and (v is True or q[f] <= v) for f, v in r.items())
+
+    return [q for q in found if not any(covers(r, q) for r in found)]
+
+
+def _mutual(texts: DataFrame) -> DataFrame:
+    """Pairs (v, lo, hi): a text and each pair of texts, alike in both orders, that it is one of."""
+    back = texts.select(F.col("a").alias("b"), F.col("b").alias("a"))
+    return texts.join(back, ["a", "b"], "left_semi").select(F.col("a").alias("v"), F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+
+
+def _one_way(texts: DataFrame) -> DataFrame:
+    back = texts.select(F.col("a").alias("b"), F.col("b").alias("a"))
+    return texts.join(back, ["a", "b"], "left_anti").select("a", "b")
+
+
+def _apart(left: Column, right: Column, rel: float) -> Column:
+    return F.coalesce(P.relative_delta(left, right) <= rel, F.lit(False))
+
+
+def _cell(c: Column, rel: float) -> Column:
+    """Cells so narrow that all of one are within ``rel``, and so wide that numbers within ``rel`` are two cells apart at most."""
+    return F.floor(F.log(c) / F.lit(-math.log(1 - rel) * (1 - 1e-9)))
+
+
+def _neighbours(rows: DataFrame, keys: list[str], value: str, rel: float) -> DataFrame:
+    """Links of each row to the nearest rows of another colour below and above it, if they are within ``rel``.
+
+    They connect all that links of every close pair connect: let k < i be close and of different colours, and j the nearest
+    below i of another colour than i. If k and j differ in colour, or a row between them differs from both, the links
+    follow from shorter spans; else the row after j is the nearest other one above both. Every close pair stands in one of
+    the runs of three cells in which a row is put.
+    """
+    cells = rows.where(F.col(value) > 0).withColumn("_c", F.explode(F.transform(F.sequence(F.lit(-2), F.lit(0)), lambda i: _cell(F.col(value), rel) + i)))
+    group = Window.partitionBy(*keys, "_c")
+    here = F.struct(F.col("pid").alias("pid"), F.col(value).alias("x"))
+    out = None
+    for order in ([F.col(value).asc(), F.col("pid").asc()], [F.col(value).desc(), F.col("pid").desc()]):
+        w = group.orderBy(*order)
+        turned = F.col("colour") != F.lag("colour").over(w)
+        each = cells.withColumn("_before", F.when(turned, F.lag(here).over(w))).withColumn(
+            "_near", F.last("_before", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        links = each.where(_apart(F.col(value), F.col("_near.x"), rel)).select(F.col("pid").alias("u"), F.col("_near.pid").alias("v"))
+        out = links if out is None else out.unionByName(links)
+    return out
+
+
+def _crowds(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Links within groups in which all rows of different colours match: to the first row, from its own colour to the first other."""
+    named = F.struct("pid", "colour")
+    first = rows.groupBy(*keys).agg(F.min(named).alias("_first"))
+    other = rows.join(first, keys).where(F.col("colour") != F.col("_first.colour")).groupBy(*keys).agg(
+        F.first("_first").alias("_first"), F.min("pid").alias("_other"))
+    return rows.join(other, keys).select(
+        F.col("pid").alias("u"), F.when(F.col("colour") == F.col("_first.colour"), F.col("_other")).otherwise(F.col("_first.pid")).alias("v"))
+
+
+def _across(rows: DataFrame, keys: list[str], rule: dict[str, float | bool]) -> DataFrame:
+    """Links of close rows of different cells that are not in one component yet (``comp``).
+
+    Neighbourhoods that are of one component are passed over before any pair is made.
+    """
+    x, y = F.col("area_sqm"), F.col("price_eur")
+    celled = rows.withColumns({"_s": _cell(x, rule["s"]), "_p": _cell(y, rule["p"])})
+    around = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: F.struct((F.floor(i / 5) - 2).alias("s"), (i % 5 - 2).alias("p")))
+
+    def spread(df: DataFrame) -> DataFrame:
+        return df.withColumn("_o", F.explode(around)).withColumns({"_s": F.col("_s") + F.col("_o.s"), "_p": F.col("_p") + F.col("_o.p")}).drop("_o")
+
+    at = [*keys, "_s", "_p"]
+    cells = celled.groupBy(*at).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    mixed = spread(cells).groupBy(*at).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select(*at)
+    middle = celled.join(mixed, at, "left_semi")  # each pair is met from both of its ends
+    left = spread(middle).select(*at, *[F.col(c).alias(f"_{c}") for c in ("pid", "colour", "comp", "area_sqm", "price_eur")])
+    return left.join(celled, at).where(
+        (F.col("comp") != F.col("_comp")) & (F.col("colour") != F.col("_colour"))
+        & _apart(x, F.col("_area_sqm"), rule["s"]) & _apart(y, F.col("_price_eur"), rule["p"])).select(F.col("_comp").alias("u"), F.col("comp").alias("v")).distinct()
+
+
+def _one_way_matches(rows: DataFrame, districts: DataFrame, kinds: DataFrame, floors: DataFrame, cfg: DuplicateConfig) -> DataFrame:
+    """Links of matches that rest on texts which are alike in one order only."""
+    pairs = possible_pairs(rows, districts, kinds, cfg)
+    matches = score_pairs(pairs, floors, cfg)
+    odd = None
+    for texts, field in ((districts, "district"), (kinds, "property_type"), (floors.where(F.col("f_ratio") > cfg.floor_ratio).select(F.col("fa").alias("a"), F.col("fb").alias("b")), "floor_text")):
+        part = matches.join(_one_way(texts).select(F.col("a").alias("_a"), F.col("b").alias("_b")),
+                            (F.col(f"a.{field}") == F.col("_a")) & (F.col(f"b.{field}") == F.col("_b")), "left_semi").select(
+            F.col("pid_a").alias("u"), F.col("pid_b").alias("v"))
+        odd = part if odd is None else odd.unionByName(part)
+    return odd
+
+
+def _component(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with ``comp``, the lowest pid that each reaches."""
+    named = connected(links).select(F.col("node").alias("pid"), F.col("cluster").alias("_reached"))
+    return rows.drop("comp").join(named, "pid", "left").withColumn("comp", F.coalesce("_reached", "pid")).drop("_reached")
+
+
 def duplicate_clusters(listings: DataFrame, cfg: DuplicateConfig = DuplicateConfig()) -> DataFrame:
     """(id, cluster): listings joined by chains of matches; the cluster is its lowest id.
 
-    Listings with the same profile and agency have the same matches, so they are one node.
-    A node is linked with the first three agencies of each matching profile (its own
-    excepted); that leaves the same clusters as linking it with all of them.
+    Matches are not listed. If a profile matches any other, it matches itself, so its listings of several agencies are one
+    component, and one of another agency is there for every other profile: a profile's colour is its agency, or its own
+    where there are several, and profiles of different colours match if their fields do. Each of ``least_rules`` links
+    as few as connect the same: nearest neighbours for one number, cells and then the borders of unlike components for two.
     """
-    matches, nodes = staged_together(
-        matches=duplicate_profiles(listings, cfg),
-        nodes=listings.groupBy(*PROFILE, "agency").agg(F.min("id").alias("node")))
-    flat = matches.select(*[F.col(f"{s}.{f}").alias(f"{s}_{f}") for s in "ab" for f in PROFILE])
-    turned = flat.unionByName(flat.select(*[F.col(f"{o}_{f}").alias(f"{s}_{f}")
-                                            for s, o in (("a", "b"), ("b", "a")) for f in PROFILE]))
-    firsts = top_per_group(nodes, PROFILE, [F.col("agency").asc()], 3)
-    left = nodes.select(*[F.col(f).alias(f"la_{f}") for f in PROFILE], F.col("agency").alias("agency_a"), F.col("node").alias("u"))
-    right = firsts.select(*[F.col(f).alias(f"lb_{f}") for f in PROFILE], F.col("agency").alias("agency_b"), F.col("node").alias("v"))
-    edges = (turned.distinct().join(left, _same_profile("a_", "la_")).join(right, _same_profile("b_", "lb_"))
-             .where("agency_a != agency_b").select("u", "v"))
-    named = connected(edges)
-    keyed = nodes.join(named, "node").select("cluster", F.col("agency").alias("k_agency"), *[F.col(f).alias(f"k_{f}") for f in PROFILE])
-    owned = listings.withColumnsRenamed({f: f"o_{f}" for f in PROFILE})
-    cond = _same_profile("o_", "k_") & (F.col("agency") == F.col("k_agency"))
-    return owned.join(keyed, cond, "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+    rows, districts, kinds = _compared(listings, cfg)
+    rows = staged(rows.withColumn("colour", F.when(F.col("other_first_id").isNull(), F.concat(F.lit("a"), "first_agency")).otherwise(
+        F.concat(F.lit("p"), F.col("pid").cast("string")))), "coloured")
+    bucket = F.when(F.col("price_eur") > 0, _bucket(F.col("price_eur"), cfg.price_far))
+    seen = rows.where("floor_text != ''").select("district", bucket.alias("p"), "floor_text").distinct()
+    met = (seen.select(F.col("district").alias("a"), _around(F.col("p")).alias("p"), F.col("floor_text").alias("fa")).join(districts, "a")
+           .join(seen.select(F.col("district").alias("b"), "p", F.col("floor_text").alias("fb")), ["b", "p"]).select("fa", "fb"))
+    floors = floor_likeness(rows, met)
+    alike = floors.where(F.col("f_ratio") > cfg.floor_ratio).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    texts = {"d": ("district", districts), "t": ("property_type", kinds), "f": ("floor_text", alike)}
+    mutual = {f: _mutual(t) for f, (_, t) in texts.items()}
+
+    def grouped(rows: DataFrame, rule: dict) -> tuple[DataFrame, list[str]]:
+        """Rows by the pairs of alike texts that they belong to."""
+        keys = []
+        for f in texts:
+            if f in rule:
+                m = mutual[f].select(F.col("v").alias("_v"), F.col("lo").alias(f"{f}_lo"), F.col("hi").alias(f"{f}_hi"))
+                rows = rows.join(m, F.col(texts[f][0]) == F.col("_v")).drop("_v")
+                keys += [f"{f}_lo", f"{f}_hi"]
+        return rows.select(*keys, "pid", "colour", "area_sqm", "price_eur", *(["comp"] if "comp" in rows.columns else [])), keys
+
+    value = {"s": "area_sqm", "p": "price_eur"}
+    links, planes = [], []
+    for rule in least_rules(cfg):
+        numbers = [f for f in "sp" if f in rule]
+        own, keys = grouped(rows, rule)
+        if len(numbers) == 1:
+            links.append(_neighbours(own, keys, value[numbers[0]], rule[numbers[0]]))
+        else:
+            own = own.where(" AND ".join(f"{value[f]} > 0" for f in numbers)) if numbers else own
+            cells = {f"_{f}": _cell(F.col(value[f]), rule[f]) for f in numbers}
+            links.append(_crowds(own.withColumns(cells), [*keys, *cells]))
+            planes += [rule] if numbers else []
+    if any(not _one_way(t).isEmpty() for _, t in texts.values()):
+        links.append(_one_way_matches(rows, districts, kinds, floors, cfg))
+    marked = staged(_component(rows, _all_of(links)), "components")
+    border = []
+    for rule in planes:
+        own, keys = grouped(marked, rule)
+        border.append(_across(own.where("area_sqm > 0 AND price_eur > 0"), keys, rule))
+    named = connected(_all_of(border)) if border else None
+    final = marked if named is None else marked.join(named.select(F.col("node").alias("comp"), F.col("cluster").alias("_c")), "comp", "left").withColumn(
+        "comp", F.coalesce("_c", "comp")).drop("_c")
+    # a profile alone is one component only if it matches itself and has listings of several agencies
+    d, t, f = (F.coalesce(F.col(c) != "", F.lit(False)) for c in ("district", "property_type", "floor_text"))
+    itself = (F.col("other_first_id").isNotNull() & (_points(d, t, P.relative_delta(F.col("area_sqm"), F.col("area_sqm")),
+              P.relative_delta(F.col("price_eur"), F.col("price_eur")), f, cfg) >= cfg.min_confidence))
+    sizes = final.groupBy("comp").agg(F.min("first_id").alias("cluster"), F.count(F.lit(1)).alias("n"))
+    keyed = final.join(sizes, "comp").where((F.col("n") > 1) | itself).select("cluster", *[F.col(c).alias(f"k_{c}") for c in PROFILE])
+    owned = listings.withColumnsRenamed({c: f"o_{c}" for c in PROFILE})
+    return owned.join(keyed, _same_profile("o_", "k_"), "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+
+
+def _all_of(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
+    return out

@@ -111,3 +111,31 @@ def test_matches_are_neither_stored_nor_repeated(spark, monkeypatch):
     got = D.duplicate_profiles(spark.createDataFrame(crowd(60), FIELDS)).select("pid_a", "pid_b").collect()
     assert "profile-pairs" not in stored
     assert len(got) == len(set(got)) == sum(a[1] != b[1] for i, a in enumerate(crowd(60)) for b in crowd(60)[i + 1:])
+
+
+def test_clusters_need_few_links(spark, monkeypatch):
+    links = []
+    monkeypatch.setattr(D, "connected", lambda df, own=D.connected: links.append(df.count()) or own(df))
+    rows = crowd(400)
+    assert {r.cluster for r in D.duplicate_clusters(spark.createDataFrame(rows, FIELDS)).collect()} == {0}
+    assert sum(links) < 40 * len(rows)  # 53,000 pairs match
+
+
+def test_components_meet_over_the_borders_of_cells(spark):
+    """Two numbers decide, the types differ: against all pairs."""
+    rnd = random.Random(8)
+    for seed in range(2):
+        rows = [(i, rnd.choice("ab"), "lozenets", f"type {i * 7919}-{i}", 50 * 1.03 ** rnd.randrange(30), 1e5 * 1.05 ** rnd.randrange(30), rnd.choice([None, "партер"]))
+                for i in range(70)]
+        parent = list(range(70))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in brute(rows):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+        got = {r.id: r.cluster for r in D.duplicate_clusters(spark.createDataFrame(rows, FIELDS)).collect()}
+        assert got == {i: find(i) for i in range(70)}
