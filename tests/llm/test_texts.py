@@ -174,6 +174,14 @@ def test_base_spans():
     assert secrets.base_spans("paſsword=abcdefgh") == []  # letters in either case are A-Z and a-z
 
 
+def test_guess_cost_counts_every_segment_of_whole_values():
+    """Nine segments, and a repeat over more than one piece of 128 characters."""
+    assert secrets.guess_cost("password" * 9) == pytest.approx(9 * math.log10(2) + math.log10(math.factorial(9)))
+    assert secrets.guess_cost("a" * 1000) == pytest.approx(4.0)
+    assert secrets.value_spans("token: " + "a" * 1000) == secrets.value_spans("token: " + "password" * 9) == []
+    assert secrets.guess_cost("x7K" * 4000, secrets.GUESSES) < secrets.GUESSES == secrets.guess_cost("".join(chr(33 + i * 7 % 90) for i in range(60)), secrets.GUESSES)
+
+
 def test_guess_cost_orders_values():
     weak = ["password", "aaaaaaaaaaaa", "qwertyuiop", "2019-01-02", "passwordpassword"]
     strong = ["x7Kp2vQz9LmT", "f3a9c1d07be24680"]
