@@ -8,7 +8,7 @@ from compframe import lookups as L
 from compframe.config import RATE_OFFICIAL
 from compframe.functions import price as P
 from compframe.functions import text as T
-from compframe.functions.core import blank_to_null, group, let, round_exact, round_half_up, strip
+from compframe.functions.core import blank_to_null, group, let, once, round_exact, round_half_up, strip
 from compframe.operators import filters, markup as H
 from compframe.operators.ranking import keep_first, top_per_group
 
@@ -88,19 +88,22 @@ def first_in_range(values: Column, accept) -> Column:
 def extract_agency_adverts(pages: DataFrame, compat: bool = True) -> DataFrame:
     """Detail pages of the agency portal; one row per page with a price and a size."""
     html = F.col("html")
-    nodes = H.text_nodes(html)
-    money = F.filter(F.transform(nodes, lambda t: F.translate(F.regexp_extract(
-        t, f"(?U){ADVERT_PRICE if compat else ADVERT_PRICE_FIXED}", 1), "  ", "")), lambda s: s.rlike(r"^\d+$"))
-    areas = F.filter(F.transform(nodes, lambda t: F.regexp_extract(t, f"(?U){ADVERT_SIZE}", 1)), lambda s: s != "")
+    money = F.filter(F.transform("_nodes", lambda t: F.translate(F.regexp_extract(
+        t, f"(?U){ADVERT_PRICE if compat else ADVERT_PRICE_FIXED}", 1), "  ", "")), lambda s: s.rlike(r"^\d+$"))
+    areas = F.filter(F.transform("_nodes", lambda t: F.regexp_extract(t, f"(?U){ADVERT_SIZE}", 1)), lambda s: s != "")
     price = first_in_range(F.transform(money, lambda s: s.cast("double")), lambda p: p > 5000)
     size = first_in_range(F.transform(areas, lambda s: s.cast("double")), lambda s: s.between(15, 500))
-    places = F.concat(F.array(T.inner_text(F.regexp_extract(html, f"(?is){PAGE_TITLE}", 1))),
-                      H.element_text(html, f"(?is){HEADINGS}"))
-    hood = F.get(F.filter(F.transform(places, lambda t: T.extract_hood(t, compat)), lambda h: h.isNotNull()), F.lit(0))
-    read = pages.select("*", price.alias("_price"), size.alias("_size")).where((F.col("_price") != 0) & (F.col("_size") != 0))
-    rows = _market_row(read, L.AGENCY_PORTAL, neighborhood=hood, size_sqm=F.col("_size"), price_eur=F.col("_price"),
-                       price_per_sqm=P.price_per_sqm("_price", "_size"), rooms=P.rooms_by_slug("url"))
-    return rows.where(F.col("price_per_sqm").between(*filters.INGEST_PPS))
+    read = once(once(pages, pages.columns, H.text_nodes(html).alias("_nodes")), pages.columns, price.alias("_price"), size.alias("_size"))
+    read = once(read.where((F.col("_price") != 0) & (F.col("_size") != 0)), [*pages.columns, "_price", "_size"],
+                P.price_per_sqm("_price", "_size").alias("_pps"))
+    read = read.where(F.col("_pps").between(*filters.INGEST_PPS))
+    # the title is read first, then the headings in page order; what comes after the first district is not looked at
+    places = F.concat(F.array(T.inner_text(F.regexp_extract(html, f"(?is){PAGE_TITLE}", 1))), H.element_text(html, f"(?is){HEADINGS}"))
+    read = once(read, read.columns, places.alias("_places"))
+    hood = F.aggregate("_places", F.lit(None).cast("string"), lambda seen, t: F.when(seen.isNotNull(), seen).otherwise(T.extract_hood(t, compat)))
+    read = once(read, read.columns, hood.alias("_hood"))
+    return _market_row(read, L.AGENCY_PORTAL, neighborhood=F.col("_hood"), size_sqm=F.col("_size"), price_eur=F.col("_price"),
+                       price_per_sqm=F.col("_pps"), rooms=P.rooms_by_slug("url"))
 
 
 # ---------------------------------------------------------------- card portal
@@ -115,10 +118,10 @@ def extract_facets(pages: DataFrame) -> DataFrame:
 
 
 def _priced(rows: DataFrame, size: Column, pps: Column) -> DataFrame:
-    out = rows.withColumns({"size_sqm": size.try_cast("double"),
-                            "price_per_sqm": F.replace(pps, F.lit(","), F.lit(".")).try_cast("double")})
-    return out.where(filters.ingest_ok(F.col("size_sqm"), F.col("price_per_sqm"))).withColumn(
-        "price_eur", round_exact(F.col("size_sqm") * F.col("price_per_sqm"), 2))
+    out = once(rows, rows.columns, size.try_cast("double").alias("size_sqm"),
+               F.replace(pps, F.lit(","), F.lit(".")).try_cast("double").alias("price_per_sqm"))
+    out = out.where(filters.ingest_ok(F.col("size_sqm"), F.col("price_per_sqm")))
+    return once(out, out.columns, round_exact(F.col("size_sqm") * F.col("price_per_sqm"), 2).alias("price_eur"))
 
 
 def extract_cards(pages: DataFrame, sale_floor: bool = False) -> DataFrame:
@@ -127,11 +130,13 @@ def extract_cards(pages: DataFrame, sale_floor: bool = False) -> DataFrame:
     ``sale_floor`` drops rentals that leak into search pages.
     """
     hood = F.coalesce(T.normalize_hood("facet"), F.lower(strip(F.col("facet"))))
-    cards = pages.select("*", F.explode(H.segments(F.col("html"), CARD_OPENING, whole_page=True)).alias("card"))
-    text = cards.withColumn("t", H.flat_text(F.col("card")))
+    pages = once(pages, pages.columns, hood.alias("_hood"))
+    kept = [c for c in pages.columns if c != "html"]
+    cards = pages.select(*kept, F.explode(H.segments(F.col("html"), CARD_OPENING, whole_page=True)).alias("card"))
+    text = once(cards, kept, H.flat_text(F.col("card")).alias("t"))
     t = F.col("t")
     rows = _priced(text, group(t, CARD_PRICE, 1), group(t, CARD_PRICE, 2))
-    out = _market_row(rows, L.CARD_PORTAL, neighborhood=hood, size_sqm=F.col("size_sqm"),
+    out = _market_row(rows, L.CARD_PORTAL, neighborhood=F.col("_hood"), size_sqm=F.col("size_sqm"),
                       price_eur=F.col("price_eur"), price_per_sqm=F.col("price_per_sqm"))
     return out.where(filters.above_sale_floor(F.col("price_eur"))) if sale_floor else out
 

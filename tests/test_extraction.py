@@ -125,3 +125,16 @@ def test_references_are_decoded_once(spark, text):
     import html
     got = spark.createDataFrame([(text,)], "t string").select(T.unescape("t")).first()[0]
     assert got == html.unescape(text)
+
+
+def test_card_fields_are_searched_once(spark):
+    """Every pattern and the text of a card stand once in the optimized plan, although columns and filters share them."""
+    from compframe.operators import extract_adverts, extract_auctions
+    pages = spark.createDataFrame([(1, "София", "x", "<article>1</article>")], "page_id long, city string, facet string, html string").withColumn(
+        "fetched_at", F.current_timestamp())
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert plan(extract_auctions.extract_auction_cards(pages)).count(extract_auctions.CARD["price"]) == 1
+    assert plan(extract_adverts.extract_cards(pages, sale_floor=True)).count(extract_adverts.CARD_PRICE) == 2  # a group each
