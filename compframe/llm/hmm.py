@@ -7,10 +7,10 @@ of a billion different words some two share one with a chance of three in a hund
 all rarer words; inside that class a word has its share of the additively smoothed counts, with one
 share for all words never seen. So every text has a proper probability.
 
-**Training.** Texts whose crc32 of the id is not 0 modulo ``FOLDS`` are learnt from. Word counts cover all of
-them. Random parameters are first led to a sensible start on a bounded sample (``SAMPLE`` texts of
-smallest hash, ``SAMPLE_ROUNDS`` rounds); then ``ROUNDS`` rounds run over all training texts: each task sums
-expected starts, moves and emissions, Spark adds them by symbol, the driver normalises the fixed-size
+**Training.** Texts whose crc32 of the id is not 0 modulo ``FOLDS`` are learnt from, all of them in word counts and in
+each of ``ROUNDS`` rounds from random but reproducible parameters. Their words are turned into symbols once and
+staged, two bytes a token; in a round each task sums expected starts, moves and emissions in single precision by
+batches and double precision over them, Spark adds them by symbol, the driver normalises the fixed-size
 result. For training only, a longer text is cut into pieces of ``PIECE`` tokens; later pieces start from the
 moves' stationary distribution. Every token counts.
 
@@ -34,17 +34,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from compframe.llm.common import by_slice, least_hashed, words
-from compframe.session import staged
+from compframe.llm.common import by_slice, words
+from compframe.session import staged, unstage
 
 STATES = 8
 SYMBOLS = 20_000
 KNOWN = 200_000
 FOLDS = 10
 PIECE = 512
-SAMPLE, SAMPLE_ROUNDS, ROUNDS = 2_000, 12, 2
+ROUNDS = 14
 #: Pieces trained, and tokens scored, at once.
-TRAIN_ROWS, SCORE_TOKENS = 1024, 4_000_000
+TRAIN_ROWS, SCORE_TOKENS = 2048, 4_000_000
 LAST = (1 << 63) - 1
 ALPHA = 0.1  # additive smoothing of the base score
 PRIOR = 1.0  # pseudo-tokens per state and symbol-share in the emissions, and per move
@@ -151,41 +151,45 @@ def stationary(move: np.ndarray) -> np.ndarray:
 
 
 def expectations(flat: np.ndarray, first: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions of some texts, and their log likelihood by pieces."""
-    k = len(m.start)
-    starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(m.emit), 0.0
+    """Expected starts, moves and emissions of some texts, and their log likelihood by pieces, computed in the model's precision.
+
+    Arrays hold a row a state, a column a token; tokens stand by their place in the piece, so that a step is a range of columns.
+    """
+    k, kind = len(m.start), m.emit.dtype
+    starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros(m.emit.shape), 0.0
     begin, length, heads = pieces(flat, first)
     order = np.argsort(-length, kind="stable")
-    later = stationary(m.move)
+    later, turned, emit = stationary(m.move), np.ascontiguousarray(m.move.T), np.ascontiguousarray(m.emit.T)
     for at in range(0, len(order), TRAIN_ROWS):
         rows = order[at:at + TRAIN_ROWS]
         b, n, h = begin[rows], length[rows], heads[rows]
-        top = int(n[0])
-        active = np.searchsorted(-n, -np.arange(top), side="left")  # pieces longer than t
-        symbols = [flat[b[:c] + t] for t, c in enumerate(active)]
-        e = [m.emit[s] for s in symbols]
-        a = np.where(h[:, None], m.start, later) * e[0]
-        forward, scale = [], []
-        for t in range(top):
+        active = np.searchsorted(-n, -np.arange(int(n[0])), side="left").tolist()  # pieces longer than t
+        cut = np.cumsum([0, *active]).tolist()
+        symbols = np.concatenate([flat[b[:c] + t] for t, c in enumerate(active)])
+        e = emit.take(symbols, axis=1)
+        forward, scale = np.empty_like(e), np.empty(len(symbols), kind)
+        a = np.where(h, m.start[:, None], later[:, None])
+        for t, c in enumerate(active):
+            step = slice(cut[t], cut[t + 1])
+            f = forward[:, step]
+            np.multiply(turned @ a[:, :c] if t else a, e[:, step], out=f)
+            f /= f.sum(axis=0, out=scale[step])
+            a = f
+        total += float(np.log(scale).sum(dtype=np.float64))
+        e /= scale
+        back = np.ones((k, active[-1]), kind)
+        for t in range(len(active) - 1, -1, -1):
+            step = slice(cut[t], cut[t + 1])
+            forward[:, step] *= back  # the state's probability given the piece
             if t:
-                a = (a[:active[t]] @ m.move) * e[t]
-            s = a.sum(axis=1)
-            a = a / s[:, None]
-            forward.append(a)
-            scale.append(s)
-            total += float(np.log(s).sum())
-        back = np.ones((active[top - 1], k))
-        for t in range(top - 1, -1, -1):
-            if t + 1 < top:
-                w = e[t + 1] * back / scale[t + 1][:, None]
-                moves += forward[t][:active[t + 1]].T @ w
-                back = np.concatenate((w @ m.move.T, np.ones((active[t] - active[t + 1], k))))
-            gamma = forward[t] * back
-            forward[t] = gamma
-        starts += forward[0][h].sum(axis=0)
-        all_s, all_g = np.concatenate(symbols), np.concatenate(forward)
+                w = e[:, step]
+                w *= back
+                moves += forward[:, cut[t - 1]:cut[t - 1] + active[t]] @ w.T
+                back = np.ones((k, active[t - 1]), kind)
+                np.matmul(m.move, w, out=back[:, :active[t]])
+        starts += forward[:, :active[0]][:, h].sum(axis=1, dtype=np.float64)
         for j in range(k):
-            emits[:, j] += np.bincount(all_s, weights=all_g[:, j], minlength=len(emits))
+            emits[:, j] += np.bincount(symbols, weights=forward[j], minlength=len(emits))
     return starts, moves * m.move, emits, total
 
 
@@ -221,26 +225,47 @@ def first_model(v: Vocabulary, states: int) -> Model:
     return Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def one_round(texts: DataFrame, v: Vocabulary, m: Model) -> Model:
-    """One Baum-Welch round: tasks sum expected counts, Spark adds them by symbol."""
-    sent = texts.sparkSession.sparkContext.broadcast((v, m))
+def symbols_of(texts: DataFrame, v: Vocabulary) -> DataFrame:
+    """The symbols of every text as bytes, ``symbol_type`` each."""
+    sent, kind = texts.sparkSession.sparkContext.broadcast(v), symbol_type(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = sent.value
+        for b in (part for batch in batches for part in by_slice(batch, 0)):
+            flat, first, _, _ = sequences(b.column(0), v)
+            data = flat.astype(kind)
+            packed = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(first * data.itemsize), pa.py_buffer(data)])
+            yield pa.record_batch([packed.cast(pa.binary())], ["symbols"])
+
+    return texts.mapInArrow(run, "symbols binary")
+
+
+def symbol_type(v: Vocabulary) -> np.dtype:
+    return np.dtype("<u2" if v.end < 1 << 16 else "<i4")
+
+
+def one_round(symbols: DataFrame, v: Vocabulary, m: Model) -> Model:
+    """One Baum-Welch round over the texts' ``symbols_of``: tasks sum expected counts, Spark adds them by symbol."""
+    sent, kind = symbols.sparkSession.sparkContext.broadcast(Model(*(x.astype(np.float32) for x in m))), symbol_type(v)
     k, size = len(m.start), len(m.emit)
     names = ["row", *(f"s{j}" for j in range(k))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, m = sent.value
+        m = sent.value
         sums = np.zeros((size + k + 1, k))
         for b in (part for batch in batches for part in by_slice(batch, 0)):
-            flat, first, _, _ = sequences(b.column(0), v)
-            starts, moves, emits, _ = expectations(flat, first, m)
+            column = b.column(0).cast(pa.large_binary())
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+            flat = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].view(kind)
+            starts, moves, emits, _ = expectations(flat, (offsets - offsets[0]) // kind.itemsize, m)
             sums[:size] += emits
             sums[size:size + k] += moves
             sums[size + k] += starts
         rows = np.flatnonzero(sums.any(axis=1))
-        yield pa.record_batch([pa.array(rows.astype(np.int32)), *(pa.array(np.ascontiguousarray(sums[rows, j])) for j in range(k))], names)
+        yield pa.record_batch([pa.array(rows.astype(np.int32)), *(pa.array(sums[rows, j].astype(np.float32)) for j in range(k))], names)
 
-    schema = "row int, " + ", ".join(f"{c} double" for c in names[1:])
-    got = texts.mapInArrow(run, schema).groupBy("row").agg(*[F.sum(c).alias(c) for c in names[1:]]).toArrow()
+    schema = "row int, " + ", ".join(f"{c} float" for c in names[1:])
+    got = symbols.mapInArrow(run, schema).groupBy("row").agg(*[F.sum(c).alias(c) for c in names[1:]]).toArrow()
     sent.destroy()
     sums = np.zeros((size + k + 1, k))
     sums[got.column("row").to_numpy()] = np.stack([got.column(c).to_numpy() for c in names[1:]], axis=1)
@@ -248,13 +273,12 @@ def one_round(texts: DataFrame, v: Vocabulary, m: Model) -> Model:
 
 
 def trained(texts: DataFrame, v: Vocabulary, states: int = STATES) -> Model:
-    """A model of the training texts (id, text)."""
-    start = staged(least_hashed(texts, "id", "text", SAMPLE).select("text"), "lm-sample")
+    """A model of the training texts (id, text), all of them in every round."""
+    symbols = staged(symbols_of(texts.select("text"), v), "lm-symbols")
     m = first_model(v, states)
-    for _ in range(SAMPLE_ROUNDS):
-        m = one_round(start, v, m)
     for _ in range(ROUNDS):
-        m = one_round(texts.select("text"), v, m)
+        m = one_round(symbols, v, m)
+    unstage(symbols)
     return m
 
 

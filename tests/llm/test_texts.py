@@ -349,6 +349,20 @@ def test_training_raises_the_likelihood(monkeypatch):
     assert length.sum() == len(flat) and heads.sum() == 40 and length.max() == 4 and begin[1] == 4
 
 
+def test_every_round_learns_from_every_training_text(spark, monkeypatch):
+    texts = [f"w{i % 7} x{i % 11} w{i % 5}" if i % 9 else None for i in range(2500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    v = hmm.vocabulary(hmm.word_counts(df.select("text")), len(texts), 12, 20)
+    flat, first, _, _ = hmm.sequences(pa.array(texts), v)
+    want, models, real = hmm.first_model(v, 3), [], hmm.one_round
+    monkeypatch.setattr(hmm, "one_round", lambda rows, v, m: models.append(real(rows, v, m)) or models[-1])
+    hmm.trained(df, v, 3)
+    assert len(models) == 14
+    for got in models:
+        want = hmm.normalised(*hmm.expectations(flat, first, want)[:3], hmm.shares(v))
+        assert all(np.allclose(a, b, rtol=1e-3, atol=1e-6) for a, b in zip(got, want, strict=True))
+
+
 def test_scores(spark, edge, nothing, rows):
     lower = {c: c + 32 for c in range(65, 91)}
     tokens = [(i, WORD.findall((t or "").translate(lower)) + [None]) for i, t in rows]
