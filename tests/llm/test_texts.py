@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 from compframe.llm import bpe, counts, decontam, hmm, quality, secrets, warc
-from compframe.llm.common import inside, words
+from compframe.llm.common import inside, least_hashed, table, words
 from tokenizers import Tokenizer
 
 BYTE_BPE, PIECE_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -312,6 +312,22 @@ def test_clean_judges_each_row_by_itself(spark):
     assert decontam.clean(df, bench).count() == len(good)
 
 
+def test_the_space_of_a_sample_keeps_the_cosine_matches_and_the_leaks(spark, small):
+    docs, bench = (table(spark, small, t) for t in ("documents", "benchmark"))
+    own = docs.select("doc_id", "text")
+    (items,) = decontam.items_of(bench)
+    weighted = decontam.features(own.select("text"), items)
+    picked = least_hashed(own, "doc_id", "text", 100).selectExpr("text", f"{decontam.CORPUS} AS scale")
+    space = decontam.latent_space(picked.unionByName(bench.selectExpr("text", "1.0D AS scale")), weighted)
+    column = docs.select("text").toArrow().column(0).combine_chunks()
+    w = words(column, lower=True)
+    latent, exact = (decontam.Searcher(items, weighted, x) for x in (space, np.eye(len(weighted.hash), dtype=np.float32)))  # no reduction: the cosine itself
+    want, got = (set(x.candidates(w, weighted.find(w.hash))) for x in (exact, latent))
+    assert space.shape[1] < len(weighted.hash) and len(want) > 100 and len(want & got) >= 0.9 * len(want)
+    found = {h[:2] for h in exact.search(column)}
+    assert found and len(found & {h[:2] for h in latent.search(column)}) >= 0.9 * len(found)
+
+
 # --- language model -------------------------------------------------------------------------------
 
 
