@@ -2,6 +2,8 @@
 
 import pytest
 from compframe import session
+from compframe.catalog import extraction
+from pyspark.sql import functions as F
 
 
 class Stub:
@@ -36,3 +38,14 @@ def test_staged_results_lie_in_one_folder_and_can_be_removed(spark):
     session.unstage(df)
     with pytest.raises(Exception):
         spark.read.parquet(df.staged_at)
+
+
+def test_rows_of_one_file_are_spread_over_all_cores(spark, small, tmp_path):
+    spark.range(1000).selectExpr("id", "id % 7 AS v").coalesce(1).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    out = session.spread(df)
+    sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert df.rdd.getNumPartitions() == 1 and len(sizes) == 4 * spark.sparkContext.defaultParallelism and max(sizes) < 3 * 1000 / len(sizes)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
+    pages = extraction.extract_auctions(spark, small)  # pages are dealt out before their fields are looked for
+    assert pages.rdd.getNumPartitions() == len(sizes)
