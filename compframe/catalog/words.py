@@ -14,6 +14,7 @@ from compframe.functions import time as D
 from compframe.functions.core import round_exact
 from compframe.operators import filters
 from compframe.plans import districts as X
+from compframe.session import spread
 
 AUCTIONS = f"WITH {S.auctions_sql()}"
 END = C.date_sql("auction_end")
@@ -159,7 +160,7 @@ FILLED = (
 
 
 def filled(spark, sf):
-    rows = auctions(spark, sf)
+    rows = spread(auctions(spark, sf))
     places = rows.where(F.col("address").isNotNull()).select(
         T.geocode_query("address", "city").alias("query"), (F.length("address") + F.length("city")).alias("k")).distinct()
     return X.fill_districts(rows, places.selectExpr(*GAZETTEER))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from compframe import lookups as L
 from compframe.functions import text as T
+from compframe.functions.core import once
 from compframe.operators import filters
 
 MIN_ADDRESS = 4
@@ -34,10 +35,9 @@ def fill_districts(auctions: DataFrame, gazetteer: DataFrame, city: str | None =
     """
     rows = auctions.where(filters.needs_district(city)).select("id", "city", "address")
     has = F.coalesce(F.length("address") >= MIN_ADDRESS, F.lit(False))
-    rows = rows.withColumns({
-        "has_address": has,
-        "by_text": F.when(has, hood_from_text(F.col("address"), F.col("city"))),
-        "query": F.when(has, T.geocode_query("address", "city"))})
+    rows = once(rows, ["id", "city", "address"], has.alias("has_address"),
+                F.when(has, hood_from_text(F.col("address"), F.col("city"))).alias("by_text"),
+                F.when(has, T.geocode_query("address", "city")).alias("query"))
     # only rows that their own text leaves open go through the join
     open_rows = rows.where("has_address AND by_text IS NULL")
     found = open_rows.join(gazetteer, "query", "left").select("id", "city", "address", hood_from_gazetteer().alias("neighborhood"))

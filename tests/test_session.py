@@ -2,7 +2,7 @@
 
 import pytest
 from compframe import session
-from compframe.catalog import extraction
+from compframe.catalog import extraction, words
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,8 @@ def test_rows_of_one_file_are_spread_over_all_cores(spark, small, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
     pages = extraction.extract_auctions(spark, small)  # pages are dealt out before their fields are looked for
     assert pages.rdd.getNumPartitions() == len(sizes)
+
+
+def test_the_district_fill_is_spread_over_all_cores(spark, small):
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    assert words.filled(spark, small).rdd.getNumPartitions() >= tasks
