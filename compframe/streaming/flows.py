@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from compframe.config import RATE_LIMIT_MAX, RATE_LIMIT_WINDOW_S, RETENTION_DAYS
@@ -62,54 +64,101 @@ def upsert_stream(rows: DataFrame, key: str = "id", ts: str = "ts") -> DataFrame
     return kept.select(key, "f.*", "first_seen", "last_seen", F.lit(True).alias("is_active"))
 
 
-def snapshot_stream(snapshots: DataFrame, fields: list[str]) -> DataFrame:
+#: Rows that the state of ``snapshot_stream`` is kept in; part of the state's key, so it must not change while a checkpoint lives.
+BUCKETS = 1024
+HELD = {"k": "object", "data": "object", "is_expired": "bool", "scraped_at": "int64", "first_seen_at": "int64", "last_updated_at": "int64", "seen": "int64"}
+
+
+def _as_text(c: str, kind: str) -> Column:
+    """An atomic column as text that gives back the same value; times are microseconds, so no time zone plays a part."""
+    return F.unix_micros(c).cast("string") if kind == "timestamp" else F.base64(c) if kind == "binary" else F.col(c).cast("string")
+
+
+def _from_text(c: Column, kind: str) -> Column:
+    return F.timestamp_micros(c.cast("bigint")) if kind == "timestamp" else F.unbase64(c) if kind == "binary" else c.cast(kind)
+
+
+def merge_snapshot() -> Callable[[pd.DataFrame, pd.DataFrame, int], tuple[pd.DataFrame, np.ndarray]]:
+    """The function that merges listed ids; nested, so that it travels to executors which do not have this package."""
+
+    def merge(held: pd.DataFrame, rows: pd.DataFrame, passed: int) -> tuple[pd.DataFrame, np.ndarray]:
+        """Keyed rows after the listed ones, and which of them changed.
+
+        ``held`` has the columns of ``HELD``, ``rows`` k, us, data and detailed (live details are there). Rows of one key are taken by time.
+        """
+        gone = ~held["is_expired"].to_numpy() & (held["seen"].to_numpy() < passed)
+        held = held.assign(is_expired=held["is_expired"] | gone, last_updated_at=np.where(gone, passed, held["last_updated_at"]))
+        rows = rows.sort_values("us", kind="stable")
+        turn = rows.groupby("k").cumcount().to_numpy()
+        changed = gone
+        for i in range(int(turn.max()) + 1 if len(turn) else 0):  # one turn, unless a key is listed twice
+            part = rows[turn == i]
+            at = pd.Index(held["k"]).get_indexer(part["k"])
+            us, data, detailed = part["us"].to_numpy(np.int64), part["data"].to_numpy(object), part["detailed"].to_numpy(bool)
+            columns = {c: held[c].to_numpy(copy=True) for c in HELD}
+            known = np.flatnonzero(at >= 0)
+            known = known[us[known] >= columns["seen"][at[known]]]  # not an older snapshot than the one seen last
+            columns["seen"][at[known]] = us[known]
+            back = known[columns["is_expired"][at[known]] & detailed[known]]
+            for c, v in (("data", data[back]), ("is_expired", False), ("scraped_at", us[back]), ("last_updated_at", us[back])):
+                columns[c][at[back]] = v
+            changed[at[back]] = True
+            new = np.flatnonzero((at < 0) & detailed)
+            more = {"k": part["k"].to_numpy(object)[new], "data": data[new], "is_expired": np.zeros(len(new), bool)}
+            held = pd.DataFrame({c: np.concatenate([v, more.get(c, us[new])]) for c, v in columns.items()})
+            changed = np.concatenate([changed, np.ones(len(new), bool)])
+        return held, changed
+
+    return merge
+
+
+def snapshot_stream(snapshots: DataFrame, fields: list[str], buckets: int = BUCKETS) -> DataFrame:
     """Changes that a stream of full snapshots makes to a keyed table, in update mode.
 
     ``snapshots`` has id, run (the snapshot's time), ``fields`` and is_expired as the details of that run give them (null: no
     details could be had). A listed id that is not live is inserted or revived with live details and keeps first_seen_at. A
-    live id that the next snapshot does not list expires: its timer ends when the watermark passes the run that saw it
-    last, so a snapshot costs the ids it lists and those that leave, never the table. A micro-batch must be one snapshot.
+    live id that the next snapshot does not list expires when the watermark passes the run that saw it last. A micro-batch must be one snapshot.
+
+    Ids are dealt out over ``buckets``; the state of a bucket is a table of its ids, with a timer for the one seen longest ago. A
+    micro-batch reads and writes the buckets it lists ids of, or whose timer ends, as columns: a full snapshot touches nearly every live
+    id anyway, and a call of Python for each id costs far more than copying the rows of a bucket.
     """
     types = {f.name: f.dataType.simpleString() for f in snapshots.schema.fields}
     stamps = ["scraped_at", "first_seen_at", "last_updated_at"]
-    names = [*fields, "is_expired", *stamps]  # times are microseconds in here, so no time zone plays a part
-    columns = ", ".join([*(f"{f} {types[f]}" for f in fields), "is_expired boolean", *(f"{s} bigint" for s in stamps)])
-
-    def plain(v: object) -> object:
-        return None if v is None or v is pd.NaT or v != v else v.item() if hasattr(v, "item") else v
+    shown, merge = ["k", "data", "is_expired", *stamps], merge_snapshot()
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip([*names, "seen"], state.get, strict=True)) if state.exists else None
+        held = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else pd.DataFrame({c: np.empty(0, t) for c, t in HELD.items()})
         passed = state.getCurrentWatermarkMs() * 1000
-        changed = False
-        # a key with new rows gets no time-out of its own, even if it missed the snapshot before
-        if held and not held["is_expired"] and held["seen"] < passed:
-            held, changed = held | {"is_expired": True, "last_updated_at": passed}, True
-        rows = [] if state.hasTimedOut else [r for frame in frames for r in frame.to_dict("records")]
-        for row in sorted(rows, key=lambda r: r["us"]):
-            now = int(row["us"])
-            if held and now < held["seen"]:
-                continue  # an older snapshot than the one seen last
-            live = held is not None and not held["is_expired"]
-            if not live and plain(row["is_expired"]) is False:
-                first = held["first_seen_at"] if held else now
-                held = {f: plain(row[f]) for f in fields} | {
-                    "is_expired": False, "scraped_at": now, "first_seen_at": first, "last_updated_at": now, "seen": now}
-                changed = True
-            elif held:
-                held["seen"] = now
-        if held is None:
+        given = [] if state.hasTimedOut else list(frames)
+        rows = pd.concat(given) if given else pd.DataFrame({"k": [], "us": [], "data": [], "detailed": []})
+        held, changed = merge(held, rows, passed)
+        if not len(held):
             return
-        state.update(tuple(held[n] for n in [*names, "seen"]))
-        if not held["is_expired"]:
-            state.setTimeoutTimestamp(max(held["seen"], passed) // 1000 + 1)
-        if changed:
-            yield pd.DataFrame([{"id": key[0], **{n: held[n] for n in names}}])
-
-    timed = snapshots.withWatermark("run", "0 seconds").withColumn("us", F.unix_micros("run"))
-    out = timed.groupBy("id").applyInPandasWithState(
-        step, f"id {types['id']}, {columns}", f"{columns}, seen bigint", "update", GroupStateTimeout.EventTimeTimeout)
-    return out.withColumns({s: F.timestamp_micros(s) for s in stamps})
+        kept, sink = pa.RecordBatch.from_pandas(held, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, kept.schema) as out:
+            out.write_batch(kept)
+        state.update((sink.getvalue().to_pybytes(),))
+        live = held.loc[~held["is_expired"], "seen"]
+        if len(live):
+            state.setTimeoutTimestamp(max(int(live.min()), passed) // 1000 + 1)
+        if changed.any():
+            yield held.loc[changed, shown]
+
+    timed = snapshots.withWatermark("run", "0 seconds").select(
+        F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"), "run",
+        F.coalesce(F.concat(F.lit("="), _as_text("id", types["id"])), F.lit("")).alias("k"),
+        F.coalesce(F.unix_micros("run"), F.raise_error(F.lit("a snapshot's row has no run")).cast("bigint")).alias("us"),
+        F.to_json(F.array(*[_as_text(f, types[f]) for f in fields]).cast("array<string>")).alias("data"),
+        F.coalesce(~F.col("is_expired"), F.lit(False)).alias("detailed"))
+    out = timed.groupBy("bucket").applyInPandasWithState(
+        step, "k string, data string, is_expired boolean, " + ", ".join(f"{s} bigint" for s in stamps), "held binary", "update",
+        GroupStateTimeout.EventTimeTimeout)
+    values = out.withColumn("data", F.from_json("data", "array<string>"))
+    return values.select(
+        _from_text(F.when(F.col("k") != "", F.substr("k", F.lit(2))), types["id"]).alias("id"),
+        *[_from_text(F.get("data", F.lit(i)), types[f]).alias(f) for i, f in enumerate(fields)],
+        "is_expired", *[F.timestamp_micros(s).alias(s) for s in stamps])
 
 
 def to_changes(path: str) -> Callable[[DataFrame, int], None]:

@@ -121,6 +121,29 @@ def test_snapshot_stream_equals_batch_merges(spark, tmp_path):
     assert got == {r.id: (r.price, r.is_expired, r.first_seen_at, r.last_updated_at) for r in known.collect()}
 
 
+def test_snapshot_stream_keeps_ids_in_buckets(spark, tmp_path):
+    """State and calls are one a bucket, not one an id; large numbers, nulls and ids listed twice come through."""
+    schema = "id bigint, run timestamp, n bigint, label string, at timestamp, is_expired boolean"
+    day = [T0 + dt.timedelta(days=i) for i in range(3)]
+    big, state, changes = (1 << 53) + 1, str(tmp_path / "state"), str(tmp_path / "out")
+    lists = [[(i, day[0], big + i if i % 2 else None, f"a{i}", day[1], False) for i in range(300)] + [(None, day[0], 1, None, None, False)],
+             [(i, day[1], big, "later", None, False) for i in range(100, 310)] + [(305, day[1], 0, "again", None, False)],
+             [(i, day[2], big + 1, "back", None, False if i else None) for i in range(100)]]
+    (tmp_path / "in").mkdir()
+    for rows in lists:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        src = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        X.run_to_end(X.snapshot_stream(src, ["n", "label", "at"], buckets=4), state, each=X.to_changes(changes), mode="update")
+    assert spark.read.format("statestore").load(state).count() <= 4
+    got = {r.id: (r.n, r.label, r.at, r.is_expired, r.first_seen_at, r.last_updated_at) for r in X.current(spark, changes).collect()}
+    want = {None: (1, None, None, True, day[0], day[1]), 0: (None, "a0", day[1], True, day[0], day[1])}
+    want |= {i: (big + 1, "back", None, False, day[0], day[2]) for i in range(1, 100)}
+    want |= {i: (big + i if i % 2 else None, f"a{i}", day[1], True, day[0], day[2]) for i in range(100, 300)}
+    want |= {i: (big, "later", None, True, day[1], day[2]) for i in range(300, 310)}
+    assert {k: v for k, v in got.items() if k != 305} == {k: v for k, v in want.items() if k != 305}
+    assert got[305][1] in ("later", "again") and got[305][3:] == (True, day[1], day[2])
+
+
 def test_retention_drops_days_and_rewrites_nothing(spark, tmp_path):
     store = X.DatedStore(spark, str(tmp_path / "rows"), "ts", 7)
     T = dt.datetime(2024, 3, 1, 12)
