@@ -5,7 +5,8 @@ One pass over them keeps, for every class of values, the rows so far; a window i
 what stood at its two bounds. The class that holds a wanted rank is cut into classes anew, until
 the rows of the classes left are few enough to be looked at one by one.
 
-Work is a fixed number of passes over cells and bounds, whatever the windows overlap. The pass runs on
+Work is a fixed number of passes over cells and bounds, whatever the windows overlap. Cells of one class and position are
+added up before they are sorted. The pass runs on
 ranges of the sort order, so a place with most of the rows fills as many tasks as it needs; what
 earlier ranges held is added from one row a range.
 """
@@ -144,14 +145,18 @@ def _choose(classes: int):
 
 
 def _pass(rows: DataFrame, probes: DataFrame, place: list[str], classes: int) -> DataFrame:
-    """One sorted pass; ``rows``: place, position, value, digit, n; ``probes``: tid, rank, place, lo, hi."""
+    """One sorted pass; ``rows``: place, position, digit, n; ``probes``: tid, rank, place, lo, hi.
+
+    Of a cell only its position and class count here, so cells alike in both are added up before anything is sorted.
+    """
+    rows = rows.groupBy(*place, "position", "digit").agg(F.sum("n").alias("n"))
     ends = F.explode(F.array(
         F.struct(F.col("lo").alias("position"), F.lit(float("-inf")).alias("value"), F.lit(-1).alias("sign")),
         F.struct(F.col("hi").alias("position"), F.lit(float("inf")).alias("value"), F.lit(1).alias("sign"))))
     asked = probes.select("tid", "rank", *place, ends.alias("e")).select(
         *place, "e.*", "tid", "rank", F.lit(None).cast("int").alias("digit"), F.lit(None).cast("bigint").alias("n"))
     none = F.lit(None)
-    every = rows.select(*place, "position", "value", none.cast("int").alias("sign"), none.cast("bigint").alias("tid"), none.cast("bigint").alias("rank"),
+    every = rows.select(*place, "position", F.lit(0.0).alias("value"), none.cast("int").alias("sign"), none.cast("bigint").alias("tid"), none.cast("bigint").alias("rank"),
                         "digit", "n").unionByName(asked)
     order = [*place, "position", "value"]
     ranged = every.repartitionByRange(*order).sortWithinPartitions(*order).select("digit", "n", "tid", "rank", "sign")
@@ -170,7 +175,7 @@ def first_cut(cells: DataFrame, windows: DataFrame, place: list[str], width: flo
     (``END`` takes in everything), one row for each place. Windows without rows are left out.
     """
     node, digit = _digits(F.col("value"), width, classes, 1)
-    rows = cells.select(*place, F.coalesce("position", F.lit(END)).alias("position"), "value", digit.alias("digit"), "n")
+    rows = cells.select(*place, F.coalesce("position", F.lit(END)).alias("position"), digit.alias("digit"), "n")
     return _pass(rows, windows.withColumn("rank", F.lit(None).cast("bigint")), place, classes)
 
 

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from compframe import lookups as L
+from compframe.operators import running
 from compframe.operators.aggregates import upper_median
 from compframe.operators.comparables import similar_hoods, value_subjects
 from compframe.functions import text as T
@@ -161,3 +162,35 @@ def test_one_town_of_distinct_sizes_costs_two_passes(spark):
     got = {x.tid: x.value for x in values_at(cells, cut.drop("n").join(w, "tid"), ["place"], 50.0, 101).collect()}
     want = {i: float(np.sort(price[(size >= x) & (size <= x + 20)])[((size >= x) & (size <= x + 20)).sum() // 2]) for i, x in enumerate(lo)}
     assert got == want
+
+
+def test_cells_of_one_class_and_position_are_sorted_as_one(spark, monkeypatch):
+    """A pass sorts what differs in position or class, not every price."""
+    seen, inner = spark.sparkContext.accumulator(0), running._look_up
+
+    def counting(classes):
+        run = inner(classes)
+
+        def tallied(batches):
+            def each():
+                for b in batches:
+                    seen.add(b.num_rows)
+                    yield b
+            yield from run(each())
+        return tallied
+
+    monkeypatch.setattr(running, "_look_up", counting)
+    rows = [("a", float(i % 10) if i % 11 else None, i * 0.37, 1 + i % 3) for i in range(4000)]
+    spans = [(0, 2.0, 5.0), (1, float("-inf"), running.END), (2, 9.5, 9.9)]
+    cells = spark.createDataFrame(rows, "town string, position double, value double, n bigint")
+    windows = spark.createDataFrame([("a", *w) for w in spans], "town string, tid bigint, lo double, hi double")
+    ranks = running.first_cut(cells, windows, ["town"], 100.0, 15)
+    got = {r.tid: (r.n, r.digit) for r in ranks.collect()}
+    assert seen.value <= 11 * 15 + 2 * len(spans)
+    found = running.values_at(cells, windows.join(ranks.select("tid", "digit", "rank"), "tid"), ["town"], 100.0, 15)
+    medians = {r.tid: r.value for r in found.collect()}
+    for tid, lo, hi in spans[:2]:
+        inside = sorted(v for _, p, v, n in rows if tid == 1 or (p is not None and lo <= p <= hi) for _ in range(n))
+        median = inside[len(inside) // 2]
+        assert got[tid] == (len(inside), int(median // 100)) and medians[tid] == median
+    assert set(got) == {0, 1}
