@@ -12,6 +12,7 @@ from compframe.functions import time as D
 from compframe.functions.core import blank_to_null, round_exact
 from compframe.operators import filters, ranking
 from compframe.operators.comparables import value_subjects
+from compframe.session import staged
 
 
 def with_auction_hood(auctions: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def build_deals(auctions: DataFrame, market: DataFrame, now: Column,
     Copies are dropped before valuation: the fingerprint does not depend on it, so the
     same row survives and less is valued.
     """
-    rows = ranking.dedupe_auctions(exportable(auctions, now))
+    rows = staged(ranking.dedupe_auctions(exportable(auctions, now)), "deal-rows")  # read twice, for the valued kinds and the rest
     valued_kind = P.is_comparable_type(F.trim("property_type")) & ~F.coalesce(
         F.col("is_partial_ownership"), F.lit(False))
     flats = value_subjects(with_auction_hood(rows.where(valued_kind)), market, cfg)

@@ -5,7 +5,10 @@ import random
 from pyspark.sql import functions as F
 
 from compframe import lookups as L
+from compframe.catalog import standin as S
 from compframe.operators import running
+from compframe.plans import districts, export as E
+from compframe.session import staged
 from compframe.operators.aggregates import upper_median
 from compframe.operators.comparables import similar_hoods, value_subjects
 from compframe.functions import text as T
@@ -194,3 +197,10 @@ def test_cells_of_one_class_and_position_are_sorted_as_one(spark, monkeypatch):
         median = inside[len(inside) // 2]
         assert got[tid] == (len(inside), int(median // 100)) and medians[tid] == median
     assert set(got) == {0, 1}
+
+
+def test_deals_are_deduplicated_once(spark):
+    """The valued kinds and the rest read one written result."""
+    sf = "/root/testdata/sf0.001"
+    deals = E.build_deals(S.auctions(spark, sf), S.market(spark, sf), S.now())
+    assert "Window" not in deals._jdf.queryExecution().optimizedPlan().toString()
