@@ -11,10 +11,9 @@ from compframe.catalog.registry import query
 from compframe.functions import price as P
 from compframe.functions import text as T
 from compframe.functions import time as D
-from compframe.functions.core import round_exact
+from compframe.functions.core import once, round_exact
 from compframe.operators import filters
 from compframe.plans import districts as X
-from compframe.session import spread
 
 AUCTIONS = f"WITH {S.auctions_sql()}"
 END = C.date_sql("auction_end")
@@ -160,9 +159,9 @@ FILLED = (
 
 
 def filled(spark, sf):
-    rows = spread(auctions(spark, sf))
-    places = rows.where(F.col("address").isNotNull()).select(
-        T.geocode_query("address", "city").alias("query"), (F.length("address") + F.length("city")).alias("k")).distinct()
+    rows = auctions(spark, sf)
+    named = rows.where(F.col("address").isNotNull()).select("address", "city").distinct()
+    places = once(named, [], T.geocode_query("address", "city").alias("query"), (F.length("address") + F.length("city")).alias("k")).distinct()
     return X.fill_districts(rows, places.selectExpr(*GAZETTEER))
 
 

@@ -8,6 +8,7 @@ from compframe import lookups as L
 from compframe.functions import text as T
 from compframe.functions.core import once
 from compframe.operators import filters
+from compframe.session import staged
 
 MIN_ADDRESS = 4
 
@@ -35,17 +36,18 @@ def fill_districts(auctions: DataFrame, gazetteer: DataFrame, city: str | None =
     """
     rows = auctions.where(filters.needs_district(city)).select("id", "city", "address")
     has = F.coalesce(F.length("address") >= MIN_ADDRESS, F.lit(False))
-    rows = once(rows, ["id", "city", "address"], has.alias("has_address"),
-                F.when(has, hood_from_text(F.col("address"), F.col("city"))).alias("by_text"),
-                F.when(has, T.geocode_query("address", "city")).alias("query"))
-    # only rows that their own text leaves open go through the join
-    open_rows = rows.where("has_address AND by_text IS NULL")
-    found = open_rows.join(gazetteer, "query", "left").select("id", "city", "address", hood_from_gazetteer().alias("neighborhood"))
+    # an address costs far more to read than to shuffle, so each is read once, however many auctions give it
+    texts = staged(once(rows.where(has).select("city", "address").distinct(), ["city", "address"], hood_from_text(F.col("address"), F.col("city")).alias("by_text"),
+                        T.geocode_query("address", "city").alias("query")), "district-texts")
+    # only texts that leave the district open go through the join
+    found = texts.where("by_text IS NULL").join(gazetteer, "query", "left").select("city", "address", hood_from_gazetteer().alias("neighborhood"))
     found = found.withColumn("method", F.when(F.col("neighborhood").isNotNull(), "gazetteer").otherwise("none"))
-    settled = rows.where("NOT has_address OR by_text IS NOT NULL").select(
-        "id", "city", "address", F.col("by_text").alias("neighborhood"),
-        F.when(F.col("has_address"), "text").otherwise("no_address").alias("method"))
-    return settled.unionByName(found)
+    settled = texts.where("by_text IS NOT NULL").select("city", "address", F.col("by_text").alias("neighborhood"), F.lit("text").alias("method"))
+    named = settled.unionByName(found).withColumnsRenamed({"city": "_city", "address": "_address"})
+    same = (F.col("address") == F.col("_address")) & F.col("city").eqNullSafe(F.col("_city"))
+    shown = ["id", "city", "address", "neighborhood", "method"]
+    without = rows.where(~has).select("id", "city", "address", F.lit(None).cast("string").alias("neighborhood"), F.lit("no_address").alias("method"))
+    return rows.where(has).join(named, same).select(*shown).unionByName(without)
 
 
 def apply_districts(auctions: DataFrame, filled: DataFrame) -> DataFrame:

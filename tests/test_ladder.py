@@ -204,3 +204,16 @@ def test_deals_are_deduplicated_once(spark):
     sf = "/root/testdata/sf0.001"
     deals = E.build_deals(S.auctions(spark, sf), S.market(spark, sf), S.now())
     assert "Window" not in deals._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_address_is_read_once_however_many_auctions_give_it(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(districts, "staged", lambda df, name: kept.append(staged(df, name)) or kept[-1])
+    places = [("A", 'ж.к. "Люлин 9", бл. 1'), (None, 'ж.к. "Люлин 9", бл. 1'), ("A", "ул. Роза 7"), ("A", "ул"), ("A", None)]
+    rows = [(i, *places[i % 5], None, "Двустаен апартамент", False) for i in range(50)]
+    auctions = spark.createDataFrame(rows, "id bigint, city string, address string, neighborhood string, property_type string, is_expired boolean")
+    empty = spark.createDataFrame([], "query string, " + ", ".join(f"{f} string" for f in L.GAZETTEER_FIELDS))
+    got = {r.id: (r.city, r.address, r.neighborhood, r.method) for r in districts.fill_districts(auctions, empty).collect()}
+    ways = [("люлин", "text"), ("люлин", "text"), (None, "none"), (None, "no_address"), (None, "no_address")]
+    assert got == {i: (*places[i % 5], *ways[i % 5]) for i in range(50)}
+    assert kept[0].count() == 3
