@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from compframe.config import AppraisalConfig
 from compframe.functions import text as T
+from compframe.functions.core import once
 from compframe.operators import filters
 from compframe.operators.extract_posts import enrich_description
 from compframe.operators.nearest import appraise
+from compframe.session import spread, staged
 
 
 def enriched(listings: DataFrame) -> DataFrame:
     """Listings with the fields their description gives, else their own."""
     text = F.coalesce(F.nullif("description", F.lit("")), F.nullif("address", F.lit("")), F.lit(""))
-    d = listings.withColumn("d", enrich_description(text))
+    d = once(listings, listings.columns, enrich_description(text).alias("d"))
     size = F.coalesce("d.size_sqm", "size_sqm")
     return d.withColumns({
         "city": F.coalesce(T.normal_city("city"), "city"),
@@ -29,7 +31,8 @@ def analyze_deals(listings: DataFrame, market: DataFrame, cfg: AppraisalConfig =
                   cities: list[str] | None = None) -> DataFrame:
     """Every listing in the window with its score."""
     rows = listings.where(filters.candidate_window(cities, cfg, inclusive=False))
-    return appraise(enriched(rows).where(filters.residential()), market, cfg)
+    # the appraisal reads its subjects twice, their descriptions are read once, on all cores
+    return appraise(staged(enriched(spread(rows)).where(filters.residential()), "described"), market, cfg)
 
 
 def top_deals(scored: DataFrame, cfg: AppraisalConfig = AppraisalConfig()) -> DataFrame:
@@ -52,7 +55,9 @@ def report(scored: DataFrame, cfg: AppraisalConfig = AppraisalConfig()) -> DataF
 
     The list of all scores grows with the data; it is written beside the head as JSON lines.
     """
-    top = top_deals(scored, cfg).select("id", "city", "price_eur", "score", "discount_pct", "comparables_count")
+    shown = ["id", "city", "price_eur", "score", "discount_pct", "comparables_count"]
+    scored = staged(scored.select(*shown), "scored")  # counted and ranked
+    top = top_deals(scored, cfg)
     first = top.agg(F.array_sort(F.collect_list(F.struct(
         (-F.col("score")).alias("o1"), (-F.col("discount_pct")).alias("o2"), "id", "city", "price_eur", "score",
         "discount_pct", "comparables_count"))).alias("deals"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from compframe import lookups as L
 from compframe.catalog import standin as S
 from compframe.operators import running
-from compframe.plans import districts, export as E
+from compframe.plans import appraise, districts, export as E
 from compframe.session import staged
 from compframe.operators.aggregates import upper_median
 from compframe.operators.comparables import similar_hoods, value_subjects
@@ -217,3 +217,14 @@ def test_an_address_is_read_once_however_many_auctions_give_it(spark, monkeypatc
     ways = [("люлин", "text"), ("люлин", "text"), (None, "none"), (None, "no_address"), (None, "no_address")]
     assert got == {i: (*places[i % 5], *ways[i % 5]) for i in range(50)}
     assert kept[0].count() == 3
+
+
+def test_descriptions_are_read_once_for_the_report(spark, monkeypatch):
+    """Subjects of the appraisal are written with what their descriptions give; scores are written before they are counted and ranked."""
+    names = []
+    monkeypatch.setattr(appraise, "staged", lambda df, name: names.append(name) or staged(df, name))
+    rows = spark.createDataFrame([(1, 50000.0, "гр. София", None, None, None, None, "Двустаен апартамент, 60,5 кв.м.")],
+                                 "id bigint, price_eur double, city string, address string, property_type string, size_sqm double, neighborhood string, description string")
+    market = spark.createDataFrame([], "city string, neighborhood string, property_type string, size_sqm double, price_eur double, url string")
+    assert '"listings":1,"deals_found":0' in appraise.report(appraise.analyze_deals(rows, market)).first()[0]
+    assert names == ["described", "scored"]
