@@ -119,6 +119,31 @@ def test_the_limit_of_edits_grows_with_the_line(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_a_crowd_of_close_lines_is_counted_without_a_row_for_each_pair(spark):
+    rnd = random.Random(16)
+    base = "".join(rnd.choice("abcdef ghij") for _ in range(150))
+    seen = sorted({edited(rnd, base, 3, "xyz") for _ in range(130)})
+    want = Counter(x for i, a in enumerate(seen) for b in seen[:i] if distance(a, b) <= max(2, min(len(a), len(b)) // 20) for x in (a, b))
+    own = lines.with_place(spark.createDataFrame(list(enumerate(seen)), "doc_id long, text string"), "doc_id", "text")
+    rows, got = lines.linked(own).collect(), Counter()
+    for r in rows:
+        got[r.line] += r.links
+    assert got == {lines.line_id(x): n for x, n in want.items()} and len(rows) < sum(want.values()) // 4
+
+
+def test_index_rows_of_long_lines_take_few_bytes():
+    rnd = random.Random(17)
+    texts = ["".join(rnd.choice("abcdefghij ") for _ in range(rnd.randrange(60, 700))) for _ in range(400)]
+    h, of, place, lens = lines.first_grams(texts, 2, lines.np.zeros(1 << lines.HEAVY_BITS, lines.np.uint8))
+    assert len(h) * lines.ROW.itemsize < 2 * lens.sum()
+    for i, n in enumerate(lens.tolist()):
+        end = apart = 0
+        for p in sorted(place[of == i].tolist()):
+            if p >= end:
+                apart, end = apart + 1, p + lines.GRAM
+        assert apart >= n // 20 + 2  # two are left whatever a near line changes
+
+
 def test_line_dedup_edge_cases(spark, edge, nothing, rows):
     got = lines.without_repeats(edge)
     assert got.columns == edge.columns and got.count() == len(rows)
