@@ -131,6 +131,33 @@ def test_a_crowd_of_close_lines_is_counted_without_a_row_for_each_pair(spark):
     assert got == {lines.line_id(x): n for x, n in want.items()} and len(rows) < sum(want.values()) // 4
 
 
+def test_many_distances_at_once_equal_single_ones():
+    rnd = random.Random(18)
+    texts, limits = [], []
+    for size in (1, 5, 40, 63, 64, 65, 200, 900):
+        for k in (0, 1, 2, 7, 31, 32, 62, 63):
+            a = "".join(rnd.choice("abc dя€") for _ in range(size))
+            b = edited(rnd, a, rnd.randrange(k + 3), "abcx") or "a"
+            if abs(len(a) - len(b)) <= k:
+                texts += [a, b]
+                limits.append(k)
+    x = 2 * lines.np.arange(len(limits))
+    got = lines.Texts(texts).distances(x, x + 1, lines.np.array(limits))
+    want = [lines.edit_distance(texts[i], texts[i + 1], k) for i, k in zip(x.tolist(), limits, strict=True)]
+    assert [min(d, k + 1) for d, k in zip(got.tolist(), limits, strict=True)] == want
+
+
+def test_lines_of_a_crowd_meet_at_few_places(spark):
+    rnd = random.Random(19)
+    base = "".join(rnd.choice("abcdef ghij") for _ in range(150))
+    seen = sorted({edited(rnd, base, 3, "xyz") for _ in range(200)})
+    own = lines.with_place(spark.createDataFrame(list(enumerate(seen)), "doc_id long, text string"), "doc_id", "text")
+    pairs = lines.staged(lines.candidates(own), "line-pairs")
+    met = lines.placed(pairs).collect()
+    assert sum(len(r.data) for r in met) == sum(len(r.data) for r in pairs.collect())  # no pair is lost
+    assert len({r.place for r in met}) == 1  # until now 16 places for each line with many partners
+
+
 def test_index_rows_of_long_lines_take_few_bytes():
     rnd = random.Random(17)
     texts = ["".join(rnd.choice("abcdefghij ") for _ in range(rnd.randrange(60, 700))) for _ in range(400)]
