@@ -111,8 +111,9 @@ def links(nodes: DataFrame) -> DataFrame:
              & (F.bit_count(gap.bitwiseAND(within("four"))) <= 3) & (F.bit_count(gap) <= TAU))
     p, q = probe.alias("p"), index.alias("q")
     # the pair is one row here only after every test, since all of them are part of the join
-    return p.join(q, (F.col("p.chain") == F.col("q.chain")) & (F.col("p.part") == F.col("q.part"))
-                  & close).select("u", "v").distinct()
+    # and both sides are shuffled: Spark takes them for as small as the nodes and would send the exploded rows through the driver
+    return p.hint("merge").join(q.hint("merge"), (F.col("p.chain") == F.col("q.chain")) & (F.col("p.part") == F.col("q.part"))
+                                & close).select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -131,6 +131,12 @@ def test_a_crowd_of_close_lines_is_counted_without_a_row_for_each_pair(spark):
     assert got == {lines.line_id(x): n for x, n in want.items()} and len(rows) < sum(want.values()) // 4
 
 
+def test_exploded_rows_are_not_sent_through_the_driver(spark):
+    nodes = simhash.staged(spark.range(3000).selectExpr("xxhash64(id) AS fp", "id AS node"), "nodes")
+    plan = simhash.links(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_many_distances_at_once_equal_single_ones():
     rnd = random.Random(18)
     texts, limits = [], []
